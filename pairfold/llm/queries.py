@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embeddup, langid, neardup, quality, secrets
+from . import decontam, embeddup, langid, mixing, neardup, quality, secrets
 from .common import id_remainder, table
 
 
@@ -37,9 +37,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep={"held_out": id_remainder("doc_id", 4) == 2})
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs, mixing.source_targets(docs))
+    return mixed.select("row.doc_id", "row.source", F.col("mix.tokens").alias("n_tokens"), "mix.rate", "mix.copies")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op3_near_duplicates, op6_embedding_near_duplicates, op7_quality, op8_language_id, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op3_near_duplicates, op6_embedding_near_duplicates, op7_quality, op8_language_id, op9_mix_sources, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
