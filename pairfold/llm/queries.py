@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embeddup, langid, mixing, neardup, quality, secrets, tokencount
+from . import decontam, embeddup, htmltext, langid, mixing, neardup, quality, secrets, tokencount
 from .common import id_remainder, table
 
 
@@ -24,6 +24,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokencount.zipf_vocabulary())
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embeddup.link_vectors(table(spark, sf_dir, "embeddings"))
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
@@ -51,5 +55,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op3_near_duplicates, op4_token_counts, op6_embedding_near_duplicates, op7_quality, op8_language_id, op9_mix_sources, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op3_near_duplicates, op4_token_counts, op5_html_text, op6_embedding_near_duplicates, op7_quality, op8_language_id, op9_mix_sources, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
