@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embeddup, htmltext, langid, mixing, neardup, quality, secrets, tokencount
+from . import decontam, embeddup, htmltext, langid, lm, mixing, neardup, quality, secrets, tokencount
 from .common import id_remainder, table
 
 
@@ -15,6 +15,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
+    held_out = id_remainder("id", 7) == 2
+    return lm.score(rows, lm.fit(rows, ~held_out), {"held_out": held_out})
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
@@ -55,5 +61,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op3_near_duplicates, op4_token_counts, op5_html_text, op6_embedding_near_duplicates, op7_quality, op8_language_id, op9_mix_sources, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_lm_scores, op3_near_duplicates, op4_token_counts, op5_html_text, op6_embedding_near_duplicates, op7_quality, op8_language_id, op9_mix_sources, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
