@@ -1,0 +1,97 @@
+"""The logical group join, and the choice of a strategy for it."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.aggregates import Aggregate, State
+from ..functions.theta import Theta, column
+
+K = "__pf_key"
+#: Build on the left keys when the right side has more than this many times their rows.
+BUILD_LEFT_FACTOR = 10
+STRATEGIES = {
+    "=": ("pre_right", "pre_left", "join_first", "unique", "nested"),
+    "<>": ("pre_right", "pre_left", "nested"),
+    "<": ("bucketed", "global", "interval", "nested"),
+    "custom": ("nested",),
+}
+
+
+@dataclass
+class GroupJoin:
+    """One row for each left row: its columns and the aggregates over the right rows that match it."""
+
+    left: DataFrame
+    right: DataFrame
+    theta: Theta
+    aggregates: list[Aggregate]
+    strategy: str = "auto"
+    hint: str | None = None
+    partitions: int | None = None
+    left_unique: bool = False
+    left_rows: int | None = None
+    right_rows: int | None = None
+    buckets: int = 64
+    borders: list | None = field(default=None)
+
+    def __post_init__(self) -> None:
+        taken = {c.lower() for c in self.left.columns}
+        names = [a.alias for a in self.aggregates]
+        if not names:
+            raise ValueError("a group join needs an aggregate")
+        if len({n.lower() for n in names}) < len(names) or taken & {n.lower() for n in names}:
+            raise ValueError(f"aggregate names {names} must differ from each other and from the left columns")
+
+    @property
+    def family(self) -> str:
+        return "<" if self.theta.kind in ("<", ">", "<=", ">=") else self.theta.kind
+
+    def states(self) -> list[tuple[str, State, int]]:
+        """(column, state, aggregate) of all aggregates."""
+        return [(f"__pf_{i}_{s.name}", s, i) for i, a in enumerate(self.aggregates) for s in a.states]
+
+    def left_keyed(self) -> DataFrame:
+        out = self.left.withColumn(K, self.theta.key(self.theta.left))
+        return out.repartition(self.partitions, K) if self.partitions else out
+
+    def right_keyed(self) -> DataFrame:
+        """Key and values of the right rows that can match at all."""
+        values = [(F.lit(1) if a.value is None else column(a.value)).alias(f"__pf_v{i}") for i, a in enumerate(self.aggregates)]
+        out = self.right.select(self.theta.key(self.theta.right).alias(K), *values).where(F.col(K).isNotNull())
+        return out.repartition(self.partitions, K) if self.partitions else out
+
+    def partials(self) -> list[Column]:
+        return [s.partial(F.col(f"__pf_v{i}")).alias(c) for c, s, i in self.states()]
+
+    def per_key(self, right: DataFrame | None = None) -> DataFrame:
+        """The right side aggregated by key (partial sums before the shuffle)."""
+        return (self.right_keyed() if right is None else right).groupBy(K).agg(*self.partials())
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Left columns and results from a frame that has the left columns and all states."""
+        finals = [a.final(*(F.col(c) for c, _, j in self.states() if j == i)).alias(a.alias) for i, a in enumerate(self.aggregates)]
+        return df.select(*(F.col(f"`{c}`") for c in self.left.columns), *finals)
+
+    def chosen(self) -> str:
+        """The strategy asked for, or the best that the predicate and the aggregates allow."""
+        fit = STRATEGIES[self.family]
+        if self.strategy != "auto":
+            if self.strategy not in fit:
+                raise ValueError(f"{self.strategy} does not serve {self.theta.kind}; choose from {fit}")
+            if self.family == "<>" and self.strategy != "nested" and not self.can_complement():
+                raise ValueError("an aggregate that can neither be inverted nor be min or max needs the nested strategy for <>")
+            return self.strategy
+        if self.family == "custom" or self.family == "<>" and not self.can_complement():
+            return "nested"
+        if self.family == "<":
+            return "bucketed"
+        if self.left_rows is None or self.right_rows is None:
+            return "pre_right"
+        return "pre_left" if BUILD_LEFT_FACTOR * self.left_rows < self.right_rows else "pre_right"
+
+    def can_complement(self) -> bool:
+        return all(a.invertible or a.extreme for a in self.aggregates)
