@@ -216,3 +216,16 @@ def jaccard(ha: bytes, wa: bytes, hb: bytes, wb: bytes) -> float:
     same = b[at] == a
     low = float(np.minimum(x[same], y[at[same]]).sum(dtype=np.float64))
     return low / (float(x.sum(dtype=np.float64)) + float(y.sum(dtype=np.float64)) - low)
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` with the smallest id of each class, with all their columns; of rows with equal ids one stays.
+
+    Rows without an id cannot be told apart and all stay if one of them copies no document with an id.
+    """
+    classes = near_duplicates(df, id_col, text_col, **options)
+    kept = stored(classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    once = df.join(kept.select(F.col("doc_id").alias(id_col)), id_col, "left_semi").select(df.columns)
+    if not kept.where("n > 1 and doc_id is not null").isEmpty():
+        once = once.dropDuplicates([id_col])
+    return once if kept.where("doc_id is null").isEmpty() else once.unionByName(df.where(F.col(id_col).isNull()))
