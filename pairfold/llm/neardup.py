@@ -8,10 +8,10 @@ all weigh alike and only frequent passages weigh less; this rule does not depend
 1. One pass sums the cells' document frequencies.
 2. One pass gives each document a hash of its words and ``bands * rows`` samples. Copies with equal words become one
    representative, by a map-side combined minimum.
-3. Representatives are dealt by range of (band key, random number), so that even one band key of most rows is spread over
-   many tasks. Within the part of a band that a task holds, each document is compared, by the samples' low bytes, with
-   the leaders so far: it gives a candidate pair for each leader that is estimated at ``loose`` or more, and becomes a
-   leader unless one is estimated at ``tight`` or more. Parts of a large band meet in other bands, which are cut elsewhere.
+3. Representatives are dealt by range of (band key, hashed id), so that even one band key of most rows is spread over
+   many tasks. Within the parts of a band that a task holds, similarities are estimated from the samples' low bytes, and each
+   document gives candidate pairs with its nearest and with the part's centre, a number that does not grow with the part;
+   documents of one class are joined through these. Parts of a large band meet in other bands, dealt in other orders.
 4. Candidates are verified by exact weighted Jaccard similarity, and components of verified links are the classes.
 
 The chance that two documents of similarity 0.8 share none of 16 bands of 4 is 0.0002.
@@ -36,6 +36,10 @@ from .shingles import Words, shingle_counts, text_keys, word_hashes
 
 CELLS, SHARE = 1 << 16, 1 << 14
 TABLE = 1 << 16
+#: Orders in which bands are dealt; bands of one order find the same leaders, so their pairs are the same.
+TURNS = 4
+#: Ids of candidates are marked in this many bits (1 MB), to skip most other documents when weighing shingles again.
+FILTER_BITS = 1 << 23
 LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -108,27 +112,38 @@ def weighted(w: Words, size: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h, (times * idf[(h >> np.uint64(48)).astype(np.int64)]).astype(np.float32), heads
 
 
-def band_pairs(band: np.ndarray, doc: list, low: np.ndarray, loose: float, tight: float) -> tuple[list, list]:
-    """Candidate pairs within runs of equal ``band``: each document with the leaders before it."""
+def band_pairs(band: np.ndarray, doc: list, low: np.ndarray, loose: float, nearest: int = 8, part: int = 4096) -> tuple[list, list]:
+    """Candidate pairs within runs of equal ``band``, taken in parts of at most ``part`` documents.
+
+    Similarities within a part are estimated from the samples' low bytes. Each document gives a pair with its ``nearest``
+    others, with the next one, and with the part's centre (the document that the others are most similar to), as far as they
+    are estimated at ``loose`` or more. So pairs grow with the documents, not with their square: copies of one text meet
+    at the centre, and chains of edits are followed from neighbour to neighbour.
+    """
     left, right = [], []
     cut = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1], [True]))) if len(band) else np.zeros(1, int)
-    for lo, hi in zip(cut[:-1], cut[1:]):
-        if hi - lo < 2:
-            continue
-        lead, at = np.empty((8, low.shape[1]), np.uint8), []
-        for i in range(lo, hi):
-            best = 0.0
-            if at:
-                same = (lead[: len(at)] == low[i]).mean(1)
-                for j in np.flatnonzero(same >= loose):
-                    left.append(doc[at[j]])
-                    right.append(doc[i])
-                best = same.max()
-            if best < tight:
-                if len(at) == len(lead):
-                    lead = np.vstack((lead, np.empty_like(lead)))
-                lead[len(at)] = low[i]
-                at.append(i)
+    sizes = np.diff(cut)
+    two = cut[:-1][sizes == 2]
+    ok = (low[two] == low[two + 1]).mean(1) >= loose
+    left += [doc[i] for i in two[ok].tolist()]
+    right += [doc[i + 1] for i in two[ok].tolist()]
+    for first, end in zip(cut[:-1][sizes > 2].tolist(), cut[1:][sizes > 2].tolist()):
+        for lo in range(first, end, part):
+            x = low[lo : min(end, lo + part)]
+            n = len(x)
+            near = np.empty((n, n), np.float32)
+            step = max(1, (4 << 20) // (n * x.shape[1]))
+            for i in range(0, n, step):
+                near[i : i + step] = (x[i : i + step, None, :] == x).mean(2, dtype=np.float32)
+            np.fill_diagonal(near, 0)
+            near[near < loose] = 0
+            centre = int(near.sum(1).argmax())
+            some = np.argpartition(-near, min(nearest, n - 1), axis=1)[:, :nearest]
+            i = np.repeat(np.arange(n), some.shape[1])
+            pairs = np.concatenate((np.stack((i, some.ravel()), 1), np.stack((np.arange(n), np.full(n, centre)), 1), np.stack((np.arange(n - 1), np.arange(1, n)), 1)))
+            pairs = np.unique(np.sort(pairs[near[pairs[:, 0], pairs[:, 1]] > 0], 1), axis=0) + lo
+            left += [doc[k] for k in pairs[:, 0].tolist()]
+            right += [doc[k] for k in pairs[:, 1].tolist()]
     return left, right
 
 
@@ -154,6 +169,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     signed = stored(rows.mapInArrow(sign, f"doc_id {kind}, k1 long, k2 long, sig binary"))
     copies = signed.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "sig")).alias("x"))
+    repeated_ids = signed.agg((F.count("doc_id") > F.count_distinct("doc_id")).alias("x")).first()["x"]
     firsts = stored(copies.select("k1", "k2", F.col("x.doc_id").alias("doc_id"), F.col("x.sig").alias("sig")))
 
     def band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +183,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     keys[:, k] ^= keys[:, k] >> np.uint64(29)
             low = [x.tobytes() for x in (sig & 0xFF).astype(np.uint8)]
             each = pa.array(np.repeat(np.arange(n), bands))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), b.column(0).take(each), pa.array(low, pa.binary()).take(each)], names=["band", "doc_id", "low"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), b.column(0).take(each), pa.array(low, pa.binary()).take(each), pa.array(np.tile(np.arange(bands, dtype=np.int32) % TURNS, n))], names=["band", "doc_id", "low", "turn"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = list(batches)  # one partition, whose size the dealing by range bounds
@@ -175,23 +191,31 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             return
         table = pa.Table.from_batches(parts)
         low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(table.num_rows, samples)
-        a, b = band_pairs(table.column("band").to_numpy(), table.column("doc_id").to_pylist(), low, similarity - 0.2, similarity + 0.07)
+        a, b = band_pairs(table.column("band").to_numpy(), table.column("doc_id").to_pylist(), low, similarity - 0.2)
         yield pa.RecordBatch.from_arrays([pa.array(a, table.schema.field("doc_id").type), pa.array(b, table.schema.field("doc_id").type)], names=["a", "b"])
 
-    banded = stored(firsts.select("doc_id", "sig").mapInArrow(band_rows, f"band long, doc_id {kind}, low binary").withColumn("salt", F.xxhash64("band", "doc_id")))
+    banded = stored(firsts.select("doc_id", "sig").mapInArrow(band_rows, f"band long, doc_id {kind}, low binary, turn int").withColumn("salt", F.xxhash64("turn", "doc_id")).drop("turn"))
     dealt = banded.repartitionByRange("band", "salt").sortWithinPartitions("band", "salt").select("band", "doc_id", "low")
     pairs = stored(dealt.mapInArrow(compare, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     forget(banded)
 
+    bits = spark.sparkContext.broadcast(id_filter(pairs))  # of fixed size
+
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, _ = shared.value
-        for b, w in slices(batches):
-            h, weight, heads = weighted(w, size, idf)
+        for b in text_slices(batches, 1, 1 << 20):
+            at = b.column(2).to_numpy()
+            b = b.filter(pa.array((bits.value[at >> 6] >> (at & 63)) & 1 == 1))
+            if not b.num_rows:
+                continue
+            h, weight, heads = weighted(word_hashes(b.column(1).to_pylist()), size, idf)
             cut = list(zip(heads[:-1].tolist(), heads[1:].tolist()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h[i:j].tobytes() for i, j in cut], pa.binary()), pa.array([weight[i:j].tobytes() for i, j in cut], pa.binary())], names=["doc_id", "h", "w"])
 
-    asked = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    held = stored(rows.join(asked, "doc_id", "left_semi").mapInArrow(vectors, f"doc_id {kind}, h binary, w binary").dropDuplicates(["doc_id"]))
+    asked = rows.where("doc_id is not null and text is not null").withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("int"))
+    held = stored(asked.mapInArrow(vectors, f"doc_id {kind}, h binary, w binary"))
+    if repeated_ids:
+        held = stored(held.dropDuplicates(["doc_id"]))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,6 +230,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return signed.select("doc_id", "k1", "k2").join(stored(classes), ["k1", "k2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
+def id_filter(pairs: DataFrame) -> np.ndarray:
+    """A bit set of the hashed ids of ``pairs``: at most FILTER_BITS / 64 rows of 64 bits, whatever the number of ids."""
+    ids = pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x")))
+    at = ids.select(F.pmod(F.xxhash64("x"), F.lit(FILTER_BITS)).cast("int").alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, at & 63)")).alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS >> 6, np.int64)
+    out[words["word"].to_numpy(int)] = words["bits"].to_numpy(np.int64)
+    return out
+
+
 def jaccard(ha: bytes, wa: bytes, hb: bytes, wb: bytes) -> float:
     """Weighted Jaccard similarity of two sets given as sorted hashes and weights."""
     a, b = np.frombuffer(ha, np.uint64), np.frombuffer(hb, np.uint64)
