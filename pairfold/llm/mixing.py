@@ -18,7 +18,7 @@ Sizes: domains are at most ``max_domains`` (more raise an error), cells at most
 word lengths x (domains + 1); the rates are broadcast only when there are at most ``broadcast_cells`` cells, else joined.
 
 Defined results: a null text counts as empty and has no tokens; null labels and labels outside the targets are
-unlabelled; without targets, or without tokens or labels, every rate is 1; repeated rows are mixed one by one; an empty table
+unlabelled; targets for labels that no row has are left out, and the others share their weight; without targets, or without tokens or labels, every rate is 1; repeated rows are mixed one by one; an empty table
 gives an empty table.
 """
 
@@ -120,8 +120,9 @@ def mix(df: DataFrame, targets: dict[str, float], id_col: str = "doc_id", domain
     """``row`` (all columns of ``df``) and ``mix`` (tokens, rate and copies), for each row of ``df``."""
     if len(targets) > max_domains:
         raise ValueError(f"{len(targets)} domains; at most {max_domains} can be mixed")
-    whole = sum(targets.values())
-    names = sorted(targets)
+    label = F.col(f"`{domain_col}`").cast("string")
+    names = sorted(r["d"] for r in df.select(label.alias("d")).where(F.col("d").isin(list(targets))).distinct().collect()) if targets else []  # at most max_domains
+    whole = sum(targets[n] for n in names)
     columns = [F.col(f"`{c}`") for c in df.columns]
     wanted = df.select(F.struct(*columns).alias("row"), *(F.col(f"`{c}`").alias(a) for c, a in ((id_col, "id"), (domain_col, "domain"), (text_col, "text"), (lang_col, "language"))))
     marked = with_cell(wanted, names, "domain", "text", "language")
