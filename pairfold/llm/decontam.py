@@ -128,21 +128,28 @@ class Shard:
 def match_slice(docs: list[list[bytes]], test: TestWindows, near_terms: int = 3, slop: int = 4) -> list[tuple[list[tuple[int, int]], list[str], int]]:
     """For each document: runs of hit word positions (end exclusive), items with a phrase match, windows with a proximity match."""
     shard = Shard(docs, test)
-    hits: list[list[tuple[int, int]]] = [[] for _ in docs]
-    items: list[set[str]] = [set() for _ in docs]
-    close: list[set[int]] = [set() for _ in docs]
-    starts = np.array(shard.start, np.int64)
+    starts, tokens = np.array(shard.start, np.int64), len(shard.token)
+    edge = np.zeros(tokens + 1, np.int64)
+    phrase, close = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]  # document x window
+    many = max(len(test.length), 1)
     for w, rare, begin in shard.lookup(test) if len(shard.position) else ():
         nw, hit = shard.near(test, w, begin, rare, near_terms, slop)
-        own = np.searchsorted(starts, hit, side="right") - 1
-        for d, k in set(zip(own.tolist(), nw.tolist())):
-            close[d].add(k)
+        close.append(np.unique((np.searchsorted(starts, hit, side="right") - 1) * many + nw))
         pw, at = shard.phrases(test, w, begin)
-        own = np.searchsorted(starts, at, side="right") - 1
-        for d, k, p in zip(own.tolist(), pw.tolist(), (at - starts[own]).tolist()):
-            hits[d].append((p, p + int(test.length[k])))
-            items[d].update(test.holders[k])
-    return [(united(h), sorted(i), len(c)) for h, i, c in zip(hits, items, close)]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + test.length[pw], -1)
+        phrase.append(np.unique((np.searchsorted(starts, at, side="right") - 1) * many + pw))
+    runs: list[list[tuple[int, int]]] = [[] for _ in docs]
+    inside = np.concatenate(([False], np.cumsum(edge) > 0))
+    turn = np.flatnonzero(inside[1:] != inside[:-1])
+    own = np.searchsorted(starts, turn[::2], side="right") - 1  # the gap between documents ends every run
+    for d, lo, hi in zip(own.tolist(), (turn[::2] - starts[own]).tolist(), (turn[1::2] - starts[own]).tolist()):
+        runs[d].append((lo, hi))
+    items: list[set[str]] = [set() for _ in docs]
+    for d, k in zip(*(x.tolist() for x in np.divmod(np.unique(np.concatenate(phrase)), many))):
+        items[d].update(test.holders[k])
+    n_close = np.bincount(np.unique(np.concatenate(close)) // many, minlength=len(docs))
+    return [(r, sorted(i), int(c)) for r, i, c in zip(runs, items, n_close)]
 
 
 def united(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
