@@ -9,6 +9,10 @@ from pyspark.sql import types as T
 from ..plans.group_join import GroupJoin, K
 
 
+#: More borders than this are searched by bisection.
+TREE = 256
+
+
 def upward(j: GroupJoin) -> bool:
     """Whether the matching right keys lie above the left key."""
     return j.theta.kind in ("<", "<=")
@@ -37,24 +41,29 @@ def _over(merge, value: Column, w) -> Column:
 
 
 def borders_of(j: GroupJoin) -> list:
-    """At most ``buckets`` - 1 keys that cut the left keys evenly; one small job."""
+    """At most ``buckets`` - 1 keys that cut the left keys evenly; one small job. Without ``buckets``, as many as shuffle partitions."""
     keys = j.left.select(j.theta.key(j.theta.left).alias(K)).where(F.col(K).isNotNull())
     kind = keys.schema[K].dataType
-    if j.buckets < 2:
+    buckets = j.buckets or max(64, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if buckets < 2:
         return []
     if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-        shares = [i / j.buckets for i in range(1, j.buckets)]
+        shares = [i / buckets for i in range(1, buckets)]
         got = keys.agg(F.percentile_approx(K, shares, 10_000)).first()[0] or []
         return sorted(set(got))
-    some = keys.orderBy(F.xxhash64(K), K).limit(64 * j.buckets)  # a bounded sample, the same for equal data
+    some = keys.orderBy(F.xxhash64(K), K).limit(64 * buckets)  # a bounded sample, the same for equal data
     got = sorted(r[0] for r in some.collect())
-    return sorted({got[len(got) * i // j.buckets] for i in range(1, j.buckets)}) if got else []
+    return sorted({got[len(got) * i // buckets] for i in range(1, buckets)}) if got else []
 
 
 def bucket_of(key: Column, borders: list, kind: T.DataType) -> Column:
-    """How many borders are at most the key, by a balanced tree of comparisons."""
+    """How many borders are at most the key: by a balanced tree of comparisons, or by bisection when that would be too much code."""
     if not borders:
         return F.lit(0)
+    if len(borders) > TREE:
+        held, n = F.array(*(F.lit(b).cast(kind) for b in borders)), len(borders)
+        steps = [1 << k for k in reversed(range(n.bit_length()))]
+        return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda lo, step: F.when((lo + step <= n) & (F.get(held, lo + step - 1) <= key), lo + step).otherwise(lo))
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:

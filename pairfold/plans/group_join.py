@@ -35,7 +35,7 @@ class GroupJoin:
     left_unique: bool = False
     left_rows: int | None = None
     right_rows: int | None = None
-    buckets: int = 64
+    buckets: int | None = None
     borders: list | None = field(default=None)
 
     def __post_init__(self) -> None:

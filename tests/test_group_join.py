@@ -87,6 +87,13 @@ def test_strings_dates_and_borders(spark):
     assert sorted((tuple(x) for x in got), key=str) == sorted(((w, sum(w is not None and x is not None and w > x for x in words)) for w in words), key=str)
 
 
+def test_many_borders(spark):
+    l = spark.range(-50, 1000).select(F.col("id").cast("int").alias("k"))
+    for borders in (list(range(0, 900, 3)), list(range(10, 700, 100))):
+        got = pf.group_join(l, l, pf.ge("k", "k"), [pf.count("n"), pf.sum0("k", "s")], borders=borders).collect()
+        assert all(r["n"] == r["k"] + 51 and r["s"] == sum(range(-50, r["k"] + 1)) for r in got) and len(got) == 1050
+
+
 def test_custom_and_folded_aggregates(spark):
     left, right = relations()["random"]
     l, r = frames(spark, left, right)
