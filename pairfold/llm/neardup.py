@@ -230,11 +230,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return signed.select("doc_id", "k1", "k2").join(stored(classes), ["k1", "k2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def id_filter(pairs: DataFrame) -> np.ndarray:
-    """A bit set of the hashed ids of ``pairs``: at most FILTER_BITS / 64 rows of 64 bits, whatever the number of ids."""
-    ids = pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x")))
+def marked_bits(ids: DataFrame) -> DataFrame:
+    """(word, bits): a bit set of the hashes of column x, at most FILTER_BITS / 64 rows, whatever the number of ids."""
     at = ids.select(F.pmod(F.xxhash64("x"), F.lit(FILTER_BITS)).cast("int").alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, at & 63)")).alias("bits")).toPandas()
+    return at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, at & 63)")).alias("bits"))
+
+
+def id_filter(pairs: DataFrame) -> np.ndarray:
+    """The bit set of the ids in ``pairs`` as one array of fixed size."""
+    words = marked_bits(pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x")))).toPandas()
     out = np.zeros(FILTER_BITS >> 6, np.int64)
     out[words["word"].to_numpy(int)] = words["bits"].to_numpy(np.int64)
     return out
@@ -255,11 +259,18 @@ def jaccard(ha: bytes, wa: bytes, hb: bytes, wb: bytes) -> float:
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df`` with the smallest id of each class, with all their columns; of rows with equal ids one stays.
 
-    Rows without an id cannot be told apart and all stay if one of them copies no document with an id.
+    Rows without an id cannot be told apart and all stay. Most rows are let through by a bit set of fixed size over the ids to
+    drop; only those that it marks are compared with these ids, so most texts are never dealt anew.
     """
-    classes = near_duplicates(df, id_col, text_col, **options)
-    kept = stored(classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-    once = df.join(kept.select(F.col("doc_id").alias(id_col)), id_col, "left_semi").select(df.columns)
-    if not kept.where("n > 1 and doc_id is not null").isEmpty():
-        once = once.dropDuplicates([id_col])
-    return once if kept.where("doc_id is null").isEmpty() else once.unionByName(df.where(F.col(id_col).isNull()))
+    classes = stored(near_duplicates(df, id_col, text_col, **options))
+    drop = stored(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("x")))
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    at = F.pmod(F.xxhash64("x"), F.lit(FILTER_BITS)).cast("int")
+    rows = df.select(row.alias("row"), F.col(id_col).alias("x")).withColumn("at", at).withColumn("word", F.shiftright("at", 6))
+    marked = rows.join(F.broadcast(stored(marked_bits(drop))), "word", "left").withColumn("hit", F.col("bits").isNotNull() & F.expr("(bits & shiftleft(1L, at & 63)) <> 0"))
+    kept = marked.where("not hit").select("row").unionByName(marked.where("hit").join(drop.hint("merge"), "x", "left_anti").select("row")).select("row.*")
+    repeated = classes.agg((F.count("doc_id") > F.count_distinct("doc_id")).alias("x")).first()["x"]
+    if not repeated:
+        return kept
+    known = F.col(f"`{id_col}`").isNotNull()
+    return kept.where(known).dropDuplicates([id_col]).unionByName(kept.where(~known))
