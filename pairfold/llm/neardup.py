@@ -138,7 +138,7 @@ def band_pairs(band: np.ndarray, doc: list, low: np.ndarray, loose: float, neare
             np.fill_diagonal(near, 0)
             near[near < loose] = 0
             centre = int(near.sum(1).argmax())
-            some = np.argpartition(-near, min(nearest, n - 1), axis=1)[:, :nearest]
+            some = np.concatenate([np.argpartition(-near[i : i + 256], min(nearest, n - 1), axis=1)[:, :nearest] for i in range(0, n, 256)])
             i = np.repeat(np.arange(n), some.shape[1])
             pairs = np.concatenate((np.stack((i, some.ravel()), 1), np.stack((np.arange(n), np.full(n, centre)), 1), np.stack((np.arange(n - 1), np.arange(1, n)), 1)))
             pairs = np.unique(np.sort(pairs[near[pairs[:, 0], pairs[:, 1]] > 0], 1), axis=0) + lo
