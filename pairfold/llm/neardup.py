@@ -11,8 +11,12 @@ all weigh alike and only frequent passages weigh less; this rule does not depend
 3. Representatives are dealt by range of (band key, hashed id), so that even one band key of most rows is spread over
    many tasks. Within the parts of a band that a task holds, similarities are estimated from the samples' low bytes, and each
    document gives candidate pairs with its nearest and with the part's centre, a number that does not grow with the part;
-   documents of one class are joined through these. Parts of a large band meet in other bands, dealt in other orders.
-4. Candidates are verified by exact weighted Jaccard similarity, and components of verified links are the classes.
+   documents of one class are joined through these.
+4. Candidates are verified by exact weighted Jaccard similarity, and components of verified links are the first classes.
+5. Bands that step 3 did not compare pair by pair (of more documents than it takes neighbours, or cut by a border between
+   tasks) and that hold several classes are compared whole: every pair of different classes that is estimated at ``loose``
+   or more is verified. Bands are cut into blocks of bounded size, in order of class, and each block meets each other one of
+   its band, except where both hold one and the same class. Components of all verified links are the classes.
 
 The chance that two documents of similarity 0.8 share none of 16 bands of 4 is 0.0002.
 
@@ -147,9 +151,32 @@ def band_pairs(band: np.ndarray, doc: list, low: np.ndarray, loose: float, neare
     return left, right
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, bands: int = 16, rows_a_band: int = 4) -> DataFrame:
+def joining_links(doc: list, label: np.ndarray, number: np.ndarray, sig: np.ndarray, h: list, w: list, rows_a_band: int, loose: float, similarity: float, split: int = 0) -> tuple[list, list]:
+    """Verified links that join different classes (``label``) in a block, or between its rows before ``split`` and the others.
+
+    Every pair of different classes that is estimated at ``loose`` or more is verified, in the first of the bands that it shares,
+    unless links found before have joined its classes.
+    """
+    left, right, label, low = [], [], label.copy(), sig.astype(np.uint8)
+    for i in range(split or len(doc)):
+        start = split or i + 1
+        others = np.flatnonzero(label[start:] != label[i]) + start
+        near = (low[others] == low[i]).mean(1)
+        others, near = others[near >= loose], near[near >= loose]
+        k = int(number[i])
+        before = (sig[others, : k * rows_a_band] == sig[i, : k * rows_a_band]).reshape(len(others), k, rows_a_band).all(2).any(1)
+        others, near = others[~before], near[~before]
+        for j in others[np.argsort(-near, kind="stable")].tolist():
+            if label[j] != label[i] and jaccard(h[i], w[i], h[j], w[j]) >= similarity:
+                left.append(doc[i])
+                right.append(doc[j])
+                label[label == label[j]] = label[i]
+    return left, right
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, bands: int = 16, rows_a_band: int = 4, nearest: int = 8, part: int = 4096) -> DataFrame:
     """doc_id and class_id (the smallest id of the class), for each row of ``df``."""
-    spark, samples = df.sparkSession, bands * rows_a_band
+    spark, samples, loose = df.sparkSession, bands * rows_a_band, similarity - 0.2
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     idf = cell_weights(*cell_frequencies(rows, size))
@@ -172,15 +199,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeated_ids = signed.agg((F.count("doc_id") > F.count_distinct("doc_id")).alias("x")).first()["x"]
     firsts = stored(copies.select("k1", "k2", F.col("x.doc_id").alias("doc_id"), F.col("x.sig").alias("sig")))
 
+    def keyed(b: pa.RecordBatch) -> tuple[int, np.ndarray, np.ndarray]:
+        n = b.num_rows
+        sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(n, samples)
+        keys = np.zeros((n, bands), np.uint64)
+        for k in range(bands):
+            for j in range(rows_a_band):
+                keys[:, k] = (keys[:, k] ^ sig[:, k * rows_a_band + j]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1)
+                keys[:, k] ^= keys[:, k] >> np.uint64(29)
+        return n, sig, keys
+
     def band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = b.num_rows
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(n, samples)
-            keys = np.zeros((n, bands), np.uint64)
-            for k in range(bands):
-                for j in range(rows_a_band):
-                    keys[:, k] = (keys[:, k] ^ sig[:, k * rows_a_band + j]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1)
-                    keys[:, k] ^= keys[:, k] >> np.uint64(29)
+            n, sig, keys = keyed(b)
             low = [x.tobytes() for x in (sig & 0xFF).astype(np.uint8)]
             each = pa.array(np.repeat(np.arange(n), bands))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), b.column(0).take(each), pa.array(low, pa.binary()).take(each), pa.array(np.tile(np.arange(bands, dtype=np.int32) % TURNS, n))], names=["band", "doc_id", "low", "turn"])
@@ -191,54 +222,148 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             return
         table = pa.Table.from_batches(parts)
         low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(table.num_rows, samples)
-        a, b = band_pairs(table.column("band").to_numpy(), table.column("doc_id").to_pylist(), low, similarity - 0.2)
-        yield pa.RecordBatch.from_arrays([pa.array(a, table.schema.field("doc_id").type), pa.array(b, table.schema.field("doc_id").type)], names=["a", "b"])
+        band, known = table.column("band").to_numpy(), table.schema.field("doc_id").type
+        a, b = band_pairs(band, table.column("doc_id").to_pylist(), low, loose, nearest, part)
+        keys, sizes = np.unique(band, return_counts=True)
+        unfinished = keys[(sizes > nearest + 1) | (sizes > part) | (keys == band[0]) | (keys == band[-1])]
+        nones = [None] * len(unfinished)
+        yield pa.RecordBatch.from_arrays([pa.array(a + nones, known), pa.array(b + nones, known), pa.array([None] * len(a) + unfinished.tolist(), pa.int64())], names=["a", "b", "band"])
 
     banded = stored(firsts.select("doc_id", "sig").mapInArrow(band_rows, f"band long, doc_id {kind}, low binary, turn int").withColumn("salt", F.xxhash64("turn", "doc_id")).drop("turn"))
     dealt = banded.repartitionByRange("band", "salt").sortWithinPartitions("band", "salt").select("band", "doc_id", "low")
-    pairs = stored(dealt.mapInArrow(compare, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    compared = stored(dealt.mapInArrow(compare, f"a {kind}, b {kind}, band long"))
+    pairs = stored(compared.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     forget(banded)
 
-    bits = spark.sparkContext.broadcast(id_filter(pairs))  # of fixed size
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, _ = shared.value
-        for b in text_slices(batches, 1, 1 << 20):
-            at = b.column(2).to_numpy()
-            b = b.filter(pa.array((bits.value[at >> 6] >> (at & 63)) & 1 == 1))
-            if not b.num_rows:
-                continue
-            h, weight, heads = weighted(word_hashes(b.column(1).to_pylist()), size, idf)
-            cut = list(zip(heads[:-1].tolist(), heads[1:].tolist()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h[i:j].tobytes() for i, j in cut], pa.binary()), pa.array([weight[i:j].tobytes() for i, j in cut], pa.binary())], names=["doc_id", "h", "w"])
-
-    asked = rows.where("doc_id is not null and text is not null").withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("int"))
-    held = stored(asked.mapInArrow(vectors, f"doc_id {kind}, h binary, w binary"))
-    if repeated_ids:
-        held = stored(held.dropDuplicates(["doc_id"]))
+    def weighed(ids: DataFrame) -> DataFrame:
+        """doc_id, h and w (shingles and weights) for the documents whose id is in column x, and for others that its bit set lets through."""
+        bits = spark.sparkContext.broadcast(bit_set(marked_bits(ids)))  # of fixed size
+
+        def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            idf, _ = shared.value
+            for b in text_slices(batches, 1, 1 << 20):
+                at = b.column(2).to_numpy()
+                b = b.filter(pa.array((bits.value[at >> 6] >> (at & 63)) & 1 == 1))
+                if not b.num_rows:
+                    continue
+                h, weight, heads = weighted(word_hashes(b.column(1).to_pylist()), size, idf)
+                cut = list(zip(heads[:-1].tolist(), heads[1:].tolist()))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h[i:j].tobytes() for i, j in cut], pa.binary()), pa.array([weight[i:j].tobytes() for i, j in cut], pa.binary())], names=["doc_id", "h", "w"])
+
+        asked = rows.where("doc_id is not null and text is not null").withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("int"))
+        held = stored(asked.mapInArrow(vectors, f"doc_id {kind}, h binary, w binary"))
+        return stored(held.dropDuplicates(["doc_id"])) if repeated_ids else held
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [jaccard(*x) >= similarity for x in zip(*(b.column(k).to_pylist() for k in range(2, 6)))]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    held = weighed(pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))))
     va = held.select(F.col("doc_id").alias("a"), F.col("h").alias("ha"), F.col("w").alias("wa"))
     vb = held.select(F.col("doc_id").alias("b"), F.col("h").alias("hb"), F.col("w").alias("wb"))
-    links = pairs.join(va, "a").join(vb, "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(verify, f"a {kind}, b {kind}")
+    links = stored(pairs.join(va, "a").join(vb, "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(verify, f"a {kind}, b {kind}"))
+    forget(held)
     found = connected_components(links)
+
+    unfinished = spark.sparkContext.broadcast(bit_set(marked_bits(compared.where("band is not null").select(F.col("band").alias("x")), hashed=False)))
+
+    def open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, _, keys = keyed(b)
+            at = (keys & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+            doc, number = np.nonzero((unfinished.value[at >> 6] >> (at & 63)) & 1)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)[doc, number]), pa.array(number.astype(np.int32)), *(b.column(k).take(pa.array(doc)) for k in (0, 1))], names=["band", "number", "doc_id", "sig"])
+
+    opened = firsts.select("doc_id", "sig").mapInArrow(open_rows, f"band long, number int, doc_id {kind}, sig binary")
+    classed = stored(opened.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "number", "doc_id", "sig", F.coalesce("component", "doc_id").alias("class")))
+    mixed = classed.groupBy("band").agg((F.min("class") != F.max("class")).alias("mixed")).where("mixed").select(F.col("band").alias("x"))
+    words = stored(marked_bits(mixed, hashed=False))
+    if not words.isEmpty():
+        at = F.expr(f"cast(band & {FILTER_BITS - 1}L as int)")
+        marked = classed.withColumn("at", at).withColumn("word", F.shiftright("at", 6)).join(F.broadcast(words), "word")
+        several = stored(marked.where(F.expr("(bits & shiftleft(1L, at & 63)) <> 0")).select("band", "number", "doc_id", "sig", "class"))
+        vectors = weighed(several.select(F.col("doc_id").alias("x")))
+        more = joining(several.join(vectors, "doc_id").select("band", "number", "doc_id", "class", "sig", "h", "w"), kind, samples, rows_a_band, loose, similarity, part)
+        found = connected_components(links.unionByName(more))
+        forget(several, vectors)
     classes = firsts.select("k1", "k2", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("k1", "k2", F.coalesce("component", "doc_id").alias("class_id"))
     return signed.select("doc_id", "k1", "k2").join(stored(classes), ["k1", "k2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def marked_bits(ids: DataFrame) -> DataFrame:
-    """(word, bits): a bit set of the hashes of column x, at most FILTER_BITS / 64 rows, whatever the number of ids."""
-    at = ids.select(F.pmod(F.xxhash64("x"), F.lit(FILTER_BITS)).cast("int").alias("at"))
+def joining(rows: DataFrame, kind: str, samples: int, rows_a_band: int, loose: float, similarity: float, part: int, most_bytes: int = 16 << 20) -> DataFrame:
+    """Links (a, b) between different classes over all pairs of each band of ``rows`` (band, number, doc_id, class, sig, h, w).
+
+    A task cuts its range of (band, class, id) into blocks of at most ``part`` documents and ``most_bytes`` and searches each; the
+    blocks of bands that have several, or that a border between tasks may cut, then meet in pairs, each pair in a group of its own.
+    """
+    names = ["number", "doc_id", "class", "sig", "h", "w"]
+
+    def found(x: dict, split: int = 0) -> tuple[list, list]:
+        _, label = np.unique(np.array(x["class"]), return_inverse=True)
+        sig = np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(-1, samples)
+        return joining_links(x["doc_id"], label, np.array(x["number"]), sig, x["h"], x["w"], rows_a_band, loose, similarity, split)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block, now, band, held, same_band, first = TaskContext.get().partitionId() << 32, {k: [] for k in names}, None, 0, False, True
+        types: dict[str, pa.DataType] = {}
+
+        def out(last: bool) -> Iterator[pa.RecordBatch]:
+            """Links in the block; and its rows, if the band has other blocks or touches a border of the range."""
+            a, b = found(now)
+            sent = len(now["doc_id"]) if last or first or same_band else 0
+            lack = lambda n: [None] * n
+            cols = [pa.array(a + lack(sent), types["doc_id"]), pa.array(b + lack(sent), types["doc_id"]), pa.array(lack(len(a)) + [band] * sent, pa.int64()), pa.array(lack(len(a)) + [block] * sent, pa.int64())]
+            cols += [pa.array(lack(len(a)) + now[k][:sent], types[k]) for k in names]
+            yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "band", "block", *names])
+
+        for batch in batches:
+            types = {k: batch.schema.field(k).type for k in names}
+            cols = {k: batch.column(k).to_pylist() for k in names}
+            for i, key in enumerate(batch.column("band").to_pylist()):
+                full = len(now["doc_id"]) >= part or held >= most_bytes
+                if now["doc_id"] and (key != band or full):
+                    same_band = same_band or key == band
+                    yield from out(False)
+                    first, same_band = first and key == band, key == band
+                    block, now, held = block + 1, {k: [] for k in names}, 0
+                band = key
+                held += len(cols["h"][i]) + len(cols["w"][i]) + len(cols["sig"][i])
+                for k in names:
+                    now[k].append(cols[k][i])
+        if now["doc_id"]:
+            yield from out(True)
+
+    made = f"a {kind}, b {kind}, band long, block long, number int, doc_id {kind}, class {kind}, sig binary, h binary, w binary"
+    done = stored(rows.repartitionByRange("band", "class", "doc_id").sortWithinPartitions("band", "class", "doc_id").mapInArrow(blocks, made))
+    sent = done.where("block is not null")
+    span = stored(sent.groupBy("band", "block").agg(F.min("class").alias("least"), F.max("class").alias("most")))
+    one, two = (span.select("band", *(F.col(c).alias(f"{c}{k}") for c in ("block", "least", "most"))) for k in (1, 2))
+    meet = stored(one.join(two, "band").where("block1 < block2 and not (least1 = most1 and least2 = most2 and least1 = least2)").select("block1", "block2"))
+    sides = meet.select("block1", "block2", F.col("block1").alias("block")).unionByName(meet.select("block1", "block2", F.col("block2").alias("block")))
+
+    def across(x: pa.Table) -> pa.Table:
+        x = x.sort_by("block")
+        split = int((x.column("block").to_numpy() == x.column("block1").to_numpy()).sum())
+        a, b = found({k: x.column(k).to_pylist() for k in names}, split)
+        known = x.schema.field("doc_id").type
+        return pa.table({"a": pa.array(a, known), "b": pa.array(b, known)})
+
+    crossed = sent.join(sides, "block").select("block1", "block2", "block", *names).groupBy("block1", "block2").applyInArrow(across, f"a {kind}, b {kind}")
+    return stored(done.where("a is not null").select("a", "b").unionByName(crossed))
+
+
+def marked_bits(ids: DataFrame, hashed: bool = True) -> DataFrame:
+    """(word, bits): a bit set of the hashes of column x (or of x itself), at most FILTER_BITS / 64 rows, whatever the number of ids."""
+    at = ids.select((F.pmod(F.xxhash64("x"), F.lit(FILTER_BITS)) if hashed else F.expr(f"x & {FILTER_BITS - 1}L")).cast("int").alias("at"))
     return at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, at & 63)")).alias("bits"))
 
 
-def id_filter(pairs: DataFrame) -> np.ndarray:
-    """The bit set of the ids in ``pairs`` as one array of fixed size."""
-    words = marked_bits(pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x")))).toPandas()
+def bit_set(marked: DataFrame) -> np.ndarray:
+    """A bit set as one array of fixed size."""
+    words = marked.toPandas()
     out = np.zeros(FILTER_BITS >> 6, np.int64)
     out[words["word"].to_numpy(int)] = words["bits"].to_numpy(np.int64)
     return out

@@ -90,6 +90,46 @@ def test_classes_match_brute_force(spark):
     assert got == {d: docs[find(i)][0] for i, (d, _) in enumerate(docs)}
 
 
+def grouped_documents():
+    """One large loose group that shares bands, with close clusters of two to twelve in it."""
+    r = random.Random(5)
+    pool = [f"w{i}" for i in range(3000)]
+    docs = []
+    for k in range(70):
+        t = ["x"] * 750 + [r.choice(pool) for _ in range(20)]
+        for _ in range(2 if k % 10 else 12):
+            u = list(t)
+            u[r.randrange(755, 765)] = r.choice(pool)
+            docs.append(u)
+    r.shuffle(docs)
+    return [(i * 3 + 1, " ".join(t)) for i, t in enumerate(docs)]
+
+
+@pytest.mark.parametrize("options", [{}, {"part": 16}])
+def test_every_pair_of_a_large_band_counts(spark, options):
+    docs = grouped_documents()
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), bands=2, rows_a_band=2, **options).collect()}
+    w = shingles.word_hashes([t.encode() for _, t in docs])
+    h, _, heads = shingles.shingle_counts(w)
+    idf = neardup.cell_weights(np.bincount((h >> np.uint64(48)).astype(int), minlength=neardup.CELLS), len(docs))
+    _, weight, _ = neardup.weighted(w, 5, idf)
+    part = [(h[a:b].tobytes(), weight[a:b].tobytes()) for a, b in zip(heads[:-1], heads[1:])]
+    sig = neardup.Sampler(4, float(idf.max())).sample(h, weight, heads[:-1])
+    parent = list(range(len(docs)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if (sig[i] == sig[j]).reshape(2, 2).all(1).any() and ((sig[i] ^ sig[j]) & 0xFF == 0).mean() >= 0.8 - 0.2 and neardup.jaccard(*part[i], *part[j]) >= 0.8:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    assert got == {d: docs[find(i)][0] for i, (d, _) in enumerate(docs)}
+
+
 def test_near_duplicates_of_awkward_rows(spark, awkward):
     got = neardup.near_duplicates(awkward).collect()
     assert len(got) == awkward.count()
