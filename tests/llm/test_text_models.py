@@ -125,3 +125,13 @@ def test_lm_scores(spark, awkward, folder):
         found = lm.score(some, lm.fit(some, train, sample=5, rounds=1)).collect()
         assert len(found) == awkward.count() and all(np.isfinite(r["score"]) for r in found)
         assert {r["n_tokens"] for r in found if r["doc_id"] in (2, 3)} == {1}
+
+
+def test_every_training_document_reaches_the_attention_model(spark):
+    texts = [(k, " ".join(f"word{(k * 7 + j * j) % 50}" for j in range(30))) for k in range(12)]
+    ids = spark.createDataFrame(texts, "id long, text string").withColumn("h", F.xxhash64("id"))
+    sampled = {r["id"] for r in ids.orderBy("h", "id").limit(1).collect()}
+    far = next(r["id"] for r in ids.orderBy("id").collect() if r["id"] not in sampled and r["h"] % 64)
+    turned = [(k, " ".join(reversed(t.split())) if k == far else t) for k, t in texts]  # all word counts stay
+    one, two = (lm.fit(spark.createDataFrame(x, "id long, text string").select("id", F.col("text").cast("binary").alias("text")).coalesce(1), F.lit(True), sample=1, rounds=1)["model"].p for x in (texts, turned))
+    assert max(np.abs(one[k] - two[k]).max() for k in one) > 1e-5
