@@ -1,4 +1,4 @@
-"""Aggregates of a group join, as column expressions.
+"""Aggregates over matching rows, as column expressions.
 
 An aggregate is a list of states. A state says how it is computed from right rows (``partial``), merged over partial results
 (``merge``, usable in a grouping and in a window), combined from two values, and, where that exists, taken out of a total
@@ -77,12 +77,14 @@ def sum_(value: Column | str, alias: str = "sum") -> Aggregate:
     return Aggregate(alias, value, (SUM, VALUES), lambda s, n: F.when(n > 0, s), "sum")
 
 
-def min_(value: Column | str, alias: str = "min") -> Aggregate:
-    return Aggregate(alias, value, (LEAST,), lambda m: m, "min")
+def min_(value: Column | str, alias: str = "min", empty_value=None) -> Aggregate:
+    """Least value; ``empty_value`` (NULL by default) without a value."""
+    return Aggregate(alias, value, (LEAST,), lambda m: F.coalesce(m, F.lit(empty_value)), "min")
 
 
-def max_(value: Column | str, alias: str = "max") -> Aggregate:
-    return Aggregate(alias, value, (MOST,), lambda m: m, "max")
+def max_(value: Column | str, alias: str = "max", empty_value=None) -> Aggregate:
+    """Largest value; ``empty_value`` (NULL by default) without a value."""
+    return Aggregate(alias, value, (MOST,), lambda m: F.coalesce(m, F.lit(empty_value)), "max")
 
 
 def avg(value: Column | str, alias: str = "avg") -> Aggregate:

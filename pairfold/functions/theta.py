@@ -17,15 +17,16 @@ def column(x: str | Column) -> Column:
 
 @dataclass(frozen=True)
 class Theta:
-    """``kind`` is =, <>, <, >, <=, >= or custom; the predicate reads kind(left key, right key).
+    """``kind`` is =, <>, <, >, <=, >=, band or custom; the predicate reads kind(left key, right key).
 
-    A NULL key, or one with a NULL part, matches nothing.
+    A NULL key, or one with a NULL part, matches nothing. A band holds the right keys from the left key + lo to it + hi.
     """
 
     kind: str
     left: Key
     right: Key
     test: Callable[[Column, Column], Column] | None = None
+    band: tuple | None = None
 
     def key(self, side: Key) -> Column:
         if not isinstance(side, list):
@@ -39,7 +40,7 @@ class Theta:
 
     def holds(self, left: Column, right: Column) -> Column:
         tests = {"=": lambda: left == right, "<>": lambda: left != right, "<": lambda: left < right, ">": lambda: left > right, "<=": lambda: left <= right, ">=": lambda: left >= right}
-        return self.test(left, right) if self.kind == "custom" else tests[self.kind]()
+        return self.test(left, right) if self.test else tests[self.kind]()
 
 
 def eq(left: Key, right: Key) -> Theta:
@@ -69,3 +70,8 @@ def ge(left: Key, right: Key) -> Theta:
 def theta(left: Key, right: Key, test: Callable[[Column, Column], Column]) -> Theta:
     """Any predicate, given as a function of the two key columns."""
     return Theta("custom", left, right, test)
+
+
+def band(left: str | Column, right: str | Column, lo, hi) -> Theta:
+    """Right keys between the left key + ``lo`` and the left key + ``hi``, both included; numeric keys."""
+    return Theta("band", left, right, lambda a, b: (b >= a + F.lit(lo)) & (b <= a + F.lit(hi)), (lo, hi))

@@ -1,17 +1,18 @@
-"""Group joins on any predicate, by pairing the different left keys with the right rows."""
+"""Matchings on any predicate, by pairing the different left keys with the right rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.group_join import GroupJoin, K
+from ..plans.matching import K, Matching
 
 
-def nested(j: GroupJoin) -> DataFrame:
+def nested(j: Matching) -> DataFrame:
     """Every pair of a different left key and an aggregated right key is tested; the specification that all others must equal.
 
-    Aggregating the right side by key first is exact because the predicate sees keys only.
+    Aggregating the right side by key first is exact because the predicate sees keys only. No side is broadcast by hint: Spark
+    broadcasts the smaller one when its estimated size allows it, and otherwise deals pairs of partitions to tasks.
     """
     keys = j.left.select(j.theta.key(j.theta.left).alias("__pf_lk")).where(F.col("__pf_lk").isNotNull()).distinct()
     right = j.per_key().withColumnRenamed(K, "__pf_rk")

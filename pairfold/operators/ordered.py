@@ -1,4 +1,4 @@
-"""Group joins on smaller or larger keys, by running aggregates in place of pairs."""
+"""Matchings on smaller or larger keys, by running aggregates in place of pairs."""
 
 from __future__ import annotations
 
@@ -6,19 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.group_join import GroupJoin, K
-
+from ..plans.matching import K, Matching
+from ..sources.scratch import stored
 
 #: More borders than this are searched by bisection.
 TREE = 256
+#: A fold's state is the list of its values, and each left key holds the list of all beyond it; more different keys are refused.
+FOLD_KEYS = 20_000
 
 
-def upward(j: GroupJoin) -> bool:
+def upward(j: Matching) -> bool:
     """Whether the matching right keys lie above the left key."""
     return j.theta.kind in ("<", "<=")
 
 
-def keys_and_sums(j: GroupJoin) -> DataFrame:
+def keys_and_sums(j: Matching) -> DataFrame:
     """Different left keys and aggregated right keys in one frame; at equal keys the side that must not see the other comes first."""
     strict = j.theta.kind in ("<", ">")
     left = j.left.select(j.theta.key(j.theta.left).alias(K)).where(F.col(K).isNotNull()).distinct()
@@ -27,7 +29,7 @@ def keys_and_sums(j: GroupJoin) -> DataFrame:
     return both.withColumn("__pf_left", F.col("__pf_r") == (0 if strict else 1))
 
 
-def running(j: GroupJoin, df: DataFrame, by: list[str]) -> DataFrame:
+def running(j: Matching, df: DataFrame, by: list[str]) -> DataFrame:
     order = [F.col(K).desc() if upward(j) else F.col(K).asc(), F.col("__pf_r").asc()]
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.select(K, "__pf_left", *by, *(_over(s.merge, F.col(c), w).alias(c) for c, s, _ in j.states()))
@@ -40,22 +42,24 @@ def _over(merge, value: Column, w) -> Column:
     return F.flatten(F.collect_list(value).over(w))
 
 
-def borders_of(j: GroupJoin) -> list:
-    """At most ``buckets`` - 1 keys that cut the left keys evenly; one small job. Without ``buckets``, as many as shuffle partitions."""
-    keys = j.left.select(j.theta.key(j.theta.left).alias(K)).where(F.col(K).isNotNull())
+def borders_of(keys: DataFrame, buckets: int) -> list:
+    """At most ``buckets`` - 1 values that cut the rows of ``keys`` evenly; the rows hold each key of a side once, so no key is hot."""
     kind = keys.schema[K].dataType
-    buckets = j.buckets or max(64, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if buckets < 2:
         return []
     if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
         shares = [i / buckets for i in range(1, buckets)]
-        got = keys.agg(F.percentile_approx(K, shares, 10_000)).first()[0] or []
+        got = keys.agg(F.percentile_approx(K, shares, max(10_000, 20 * buckets))).first()[0] or []
         return sorted(set(got))
-    some = keys.orderBy(F.xxhash64(K), K).limit(64 * buckets)  # a bounded sample, the same for equal data
+    some = keys.select(K).orderBy(F.xxhash64(K), K).limit(64 * buckets)  # a bounded sample, the same for equal data
     got = sorted(r[0] for r in some.collect())
     return sorted({got[len(got) * i // buckets] for i in range(1, buckets)}) if got else []
 
 
+def buckets_of(j: Matching) -> int:
+    return j.buckets or max(64, int(j.left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def bucket_of(key: Column, borders: list, kind: T.DataType) -> Column:
     """How many borders are at most the key: by a balanced tree of comparisons, or by bisection when that would be too much code."""
     if not borders:
@@ -74,35 +78,58 @@ def bucket_of(key: Column, borders: list, kind: T.DataType) -> Column:
     return tree(0, len(borders))
 
 
-def bucketed(j: GroupJoin) -> DataFrame:
-    """Cut the key range into buckets, run within each, and add what the buckets beyond hold.
+def in_buckets(j: Matching, both: DataFrame, borders: list) -> tuple[DataFrame, DataFrame]:
+    """``both`` with its bucket, without right keys of buckets that hold no left key; and what the buckets beyond each hold.
 
-    Both sides are reduced to their different keys first, so repeated keys make no bucket larger. The buckets' totals are a
-    row for each bucket, a number that is fixed; they are broadcast.
+    The buckets' totals are a row for each bucket, a number that is fixed; they are broadcast. Right keys that lie beyond all
+    left keys are added up only, never sorted.
     """
-    if any(s.name == "list" for _, s, _ in j.states()):
-        return global_window(j)
-    both = keys_and_sums(j)
-    borders = borders_of(j) if j.borders is None else sorted(j.borders)
-    both = both.withColumn("__pf_b", bucket_of(F.col(K), borders, both.schema[K].dataType))
     cols = [(c, s) for c, s, _ in j.states()]
-    sums = both.where(~F.col("__pf_left")).groupBy("__pf_b").agg(*(s.merge(F.col(c)).alias(c) for c, s in cols))
-    spine = both.sparkSession.range(len(borders) + 1).select(F.col("id").cast("int").alias("__pf_b"))
+    both = both.withColumn("__pf_b", bucket_of(F.col(K), borders, both.schema[K].dataType))
+    sums = both.groupBy("__pf_b").agg(F.max("__pf_left").alias("__pf_asked"), *(s.merge(F.when(~F.col("__pf_left"), F.col(c))).alias(c) for c, s in cols))
     order = F.col("__pf_b").desc() if upward(j) else F.col("__pf_b").asc()
     beyond = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)  # over the buckets only
-    carry = spine.join(sums, "__pf_b", "left").select("__pf_b", *(s.merge(F.col(c)).over(beyond).alias(f"{c}_in") for c, s in cols))
-    run = running(j, both, ["__pf_b"]).where("__pf_left").join(F.broadcast(carry), "__pf_b", "left")
-    seen = run.select(K, *(s.combine(F.col(c), F.col(f"{c}_in")).alias(c) for c, s in cols))
-    return j.finish(j.left_keyed().join(seen, K, "left"))
+    carry = sums.select("__pf_b", "__pf_asked", *(s.merge(F.col(c)).over(beyond).alias(f"{c}_in") for c, s in cols)).where("__pf_asked").drop("__pf_asked")
+    return both, carry
+
+
+def bucketed_states(j: Matching) -> DataFrame:
+    """The states of each different left key: run within buckets of the key range, plus what the buckets beyond hold.
+
+    Both sides are reduced to their different keys and written once; the borders are percentiles of the different keys of both
+    sides, so neither repeated keys nor sides that hardly meet make a bucket large.
+    """
+    both = keys_and_sums(j)
+    if j.borders is None:
+        both = stored(both)
+        borders = borders_of(both, buckets_of(j))
+    else:
+        borders = sorted(j.borders)
+    both, carry = in_buckets(j, both, borders)
+    carry = F.broadcast(carry)
+    run = running(j, both.join(carry.select("__pf_b"), "__pf_b", "left_semi"), ["__pf_b"]).where("__pf_left").join(carry, "__pf_b")
+    return run.select(K, *(s.combine(F.col(c), F.col(f"{c}_in")).alias(c) for c, s, _ in j.states()))
+
+
+def bucketed(j: Matching) -> DataFrame:
+    """Cut the key range into buckets, run within each, and add what the buckets beyond hold."""
+    if any(s.name == "list" for _, s, _ in j.states()):
+        return global_window(j)
+    return j.finish(j.left_keyed().join(bucketed_states(j), K, "left"))
 
 
-def global_window(j: GroupJoin) -> DataFrame:
-    """One running window over all keys, in a single task: for small key sets, and for folds."""
-    run = running(j, keys_and_sums(j), []).where("__pf_left").drop("__pf_left")
+def global_window(j: Matching) -> DataFrame:
+    """One running window over all keys, in a single task: for small key sets, and for folds, whose keys are counted first."""
+    both = keys_and_sums(j)
+    if any(s.name == "list" for _, s, _ in j.states()):
+        both = stored(both)
+        if both.limit(FOLD_KEYS + 1).count() > FOLD_KEYS:
+            raise ValueError(f"a fold over an order holds a list for each key; more than {FOLD_KEYS} different keys need an aggregate with states")
+    run = running(j, both, []).where("__pf_left").drop("__pf_left")
     return j.finish(j.left_keyed().join(run, K, "left"))
 
 
-def interval(j: GroupJoin) -> DataFrame:
+def interval(j: Matching) -> DataFrame:
     """Assign each right row to the nearest left key that sees it, aggregate by interval, then run over the left keys.
 
     The assignment joins by ranges, so this is for small sets of left keys.
@@ -117,3 +144,14 @@ def interval(j: GroupJoin) -> DataFrame:
     w = Window.orderBy(F.col(K).desc() if up else F.col(K).asc()).rowsBetween(Window.unboundedPreceding, 0)
     run = keys.join(sums, K, "left").select(K, *(_over(s.merge, F.col(c), w).alias(c) for c, s, _ in j.states()))
     return j.finish(j.left_keyed().join(run, K, "left"))
+
+
+def band_difference(j: Matching) -> DataFrame:
+    """Right keys from the left key + ``lo`` to it + ``hi``, as what lies at or above the first less what lies above the second."""
+    lo, hi = j.theta.band
+    key = j.theta.key(j.theta.left)
+    sides = [bucketed_states(j.with_theta(kind, side)) for kind, side in (("<=", key + F.lit(lo)), ("<", key + F.lit(hi)))]
+    cols = [(c, s) for c, s, _ in j.states()]
+    at_least, above = sides[0].select(F.col(K).alias("__pf_lo"), *(F.col(c).alias(f"{c}_lo") for c, _ in cols)), sides[1].select(F.col(K).alias("__pf_hi"), *(F.col(c).alias(f"{c}_hi") for c, _ in cols))
+    out = j.left_keyed().withColumn("__pf_lo", F.col(K) + F.lit(lo)).withColumn("__pf_hi", F.col(K) + F.lit(hi)).join(at_least, "__pf_lo", "left").join(above, "__pf_hi", "left")
+    return j.finish(out.select(*(F.col(f"`{c}`") for c in j.left.columns), *(s.invert(F.col(f"{c}_lo"), F.col(f"{c}_hi")).alias(c) for c, s in cols)))

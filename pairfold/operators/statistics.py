@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregates as agg
 from ..functions.theta import Theta, column, lt
-from .api import group_join
+from .api import match_aggregate
 
 
 def is_key_unique(df: DataFrame, key) -> DataFrame:
@@ -43,6 +43,6 @@ def ne_selectivity(left: DataFrame, right: DataFrame, on: Theta) -> DataFrame:
 
 def lt_selectivity(left: DataFrame, right: DataFrame, left_key, right_key) -> DataFrame:
     """Share of all pairs with left key < right key; NULL without pairs."""
-    n = group_join(left, right, lt(left_key, right_key), [agg.count("__pf_n")]).agg(F.coalesce(F.sum("__pf_n"), F.lit(0)).alias("pairs"))
+    n = match_aggregate(left, right, lt(left_key, right_key), [agg.count("__pf_n")]).agg(F.coalesce(F.sum("__pf_n"), F.lit(0)).alias("pairs"))
     all_pairs = F.col("l").cast("double") * F.col("r")
     return _share(n, left, right, F.when(all_pairs > 0, F.col("pairs").cast("double") / all_pairs))

@@ -1,28 +1,30 @@
-"""The logical group join, and the choice of a strategy for it."""
+"""The logical operator, matching right rows to each left row, and the choice of a strategy for it."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.aggregates import Aggregate, State
-from ..functions.theta import Theta, column
+from ..functions.theta import Key, Theta, column
 
 K = "__pf_key"
 #: Build on the left keys when the right side has more than this many times their rows.
 BUILD_LEFT_FACTOR = 10
 STRATEGIES = {
     "=": ("pre_right", "pre_left", "join_first", "unique", "nested"),
-    "<>": ("pre_right", "pre_left", "nested"),
+    "<>": ("pre_right", "pre_left", "two_sided", "nested"),
     "<": ("bucketed", "global", "interval", "nested"),
+    "band": ("difference", "nested"),
     "custom": ("nested",),
 }
 
 
 @dataclass
-class GroupJoin:
+class Matching:
     """One row for each left row: its columns and the aggregates over the right rows that match it."""
 
     left: DataFrame
@@ -42,7 +44,7 @@ class GroupJoin:
         taken = {c.lower() for c in self.left.columns}
         names = [a.alias for a in self.aggregates]
         if not names:
-            raise ValueError("a group join needs an aggregate")
+            raise ValueError("no aggregate given")
         if len({n.lower() for n in names}) < len(names) or taken & {n.lower() for n in names}:
             raise ValueError(f"aggregate names {names} must differ from each other and from the left columns")
 
@@ -82,16 +84,42 @@ class GroupJoin:
         if self.strategy != "auto":
             if self.strategy not in fit:
                 raise ValueError(f"{self.strategy} does not serve {self.theta.kind}; choose from {fit}")
-            if self.family == "<>" and self.strategy != "nested" and not self.can_complement():
+            if self.family == "<>" and self.strategy in ("pre_right", "pre_left") and not self.can_complement():
                 raise ValueError("an aggregate that can neither be inverted nor be min or max needs the nested strategy for <>")
+            if any(s.name == "list" for _, s, _ in self.states()) and self.strategy == "two_sided":
+                raise ValueError("a fold needs the nested strategy for <>")
+            if self.strategy == "difference" and not self.can_subtract():
+                raise ValueError("an aggregate without an exact inverse needs the nested strategy for a band")
             return self.strategy
         if self.family == "custom" or self.family == "<>" and not self.can_complement():
             return "nested"
+        if self.family == "band":
+            return "difference" if self.can_subtract() else "nested"
         if self.family == "<":
             return "bucketed"
-        if self.left_rows is None or self.right_rows is None:
-            return "pre_right"
-        return "pre_left" if BUILD_LEFT_FACTOR * self.left_rows < self.right_rows else "pre_right"
+        left = estimated_rows(self.left, self.theta.key(self.theta.left)) if self.left_rows is None else self.left_rows
+        right = estimated_rows(self.right, self.theta.key(self.theta.right)) if self.right_rows is None else self.right_rows
+        return "pre_left" if BUILD_LEFT_FACTOR * left < right else "pre_right"
 
     def can_complement(self) -> bool:
         return all(a.invertible or a.extreme for a in self.aggregates)
+
+    def can_subtract(self) -> bool:
+        """Whether every state has an inverse that is exact, as sums of floating-point values have not."""
+        types = self.per_key().schema
+        return all(s.invert and not isinstance(types[c].dataType, (T.DoubleType, T.FloatType)) for c, s, _ in self.states())
+
+    def with_theta(self, kind: str, left: Key) -> Matching:
+        """The same aggregates for another predicate and left key, by the default strategy."""
+        return replace(self, theta=Theta(kind, left, self.theta.right), strategy="auto")
+
+
+def estimated_rows(df: DataFrame, key: Column) -> float:
+    """Rows by Catalyst's statistics: its count where it knows one, else the size of the key column over the key's width; reads no data."""
+    keys = df.select(key.alias(K))
+    stats = keys._jdf.queryExecution().optimizedPlan().stats()
+    known = stats.rowCount()
+    if known.isDefined():
+        return float(str(known.get()))
+    width = 8 + keys._jdf.schema().apply(0).dataType().defaultSize()
+    return float(str(stats.sizeInBytes())) / width

@@ -1,4 +1,4 @@
-"""The query catalogue of the group join, with the same queries in SQL."""
+"""The query catalogue, with the same queries in SQL."""
 
 from __future__ import annotations
 
@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import aggregates as agg
-from .functions.theta import Theta, eq, ge, gt, le, lt, ne, theta
+from .functions.theta import Theta, band, eq, ge, gt, le, lt, ne, theta
 from .operators import statistics
-from .operators.api import exists, group_join, not_exists
+from .operators.api import exists, match_aggregate, not_exists
 from .sources import generators
-from .sources.tables import read
+from .sources.scratch import shared_folder
+from .sources.tables import read, write
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,7 +45,7 @@ def add(name: str, left: tuple[str, list[str], str], right: tuple[str, str, str
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         l, r = read(spark, sf_dir, lt_name).select(*dict.fromkeys([*cols, lk])), read(spark, sf_dir, rt_name).where(where)
         value = cents(money) if money else None
-        return group_join(l, r, op(lk, rk), [AGGREGATES[k][0](value) for k in kinds], **options)
+        return match_aggregate(l, r, op(lk, rk), [AGGREGATES[k][0](value) for k in kinds], **options)
 
     have = ", ".join(f"l.{c}" for c in dict.fromkeys([*cols, lk]))
     v = f"CAST(ROUND({money} * 100) AS BIGINT)" if money else "NULL"
@@ -68,14 +69,14 @@ for kind in AGGREGATES:
     add(f"eq_{kind}", ORDERS, LINES, eq, [kind])
 for name, options in {
     "eq_nested": {"strategy": "nested"}, "eq_join_first": {"strategy": "join_first"}, "eq_unique": {"strategy": "unique"}, "eq_build_left": {"strategy": "pre_left"},
-    "eq_build_right": {"strategy": "pre_right"}, "eq_auto": {"left_rows": 100, "right_rows": 1001}, "eq_sort_merge": {"hint": "merge"}, "eq_shuffle_hash": {"hint": "shuffle_hash", "partitions": 16},
+    "eq_build_right": {"strategy": "pre_right"}, "eq_auto": {}, "eq_auto_given_rows": {"left_rows": 100, "right_rows": 1001}, "eq_sort_merge": {"hint": "merge"}, "eq_shuffle_hash": {"hint": "shuffle_hash", "partitions": 16},
 }.items():
     add(name, ORDERS, LINES, eq, ["sum0", "count"], **options)
 add("eq_dup_left", ("orders", ["o_orderkey"], "o_custkey"), ("events", "user_id", "value"), eq, ["count", "sum0"])
 add("eq_multi_agg", PART, PART_LINES, eq, list(AGGREGATES))
 for kind in AGGREGATES:
     add(f"ne_{kind}", SUPPLIER, SUPPLIED, ne, [kind])
-for name, options in {"ne_build_left": {"strategy": "pre_left"}, "ne_auto": {"left_rows": 10, "right_rows": 101}, "ne_sort_merge": {"hint": "merge"}, "ne_partitioned": {"hint": "shuffle_hash", "partitions": 16}}.items():
+for name, options in {"ne_build_left": {"strategy": "pre_left"}, "ne_auto": {}, "ne_auto_given_rows": {"left_rows": 10, "right_rows": 101}, "ne_sort_merge": {"hint": "merge"}, "ne_partitioned": {"hint": "shuffle_hash", "partitions": 16}}.items():
     add(name, PART, PART_LINES, ne, ["sum0"], **options)
 add("ne_nested", SUPPLIER, SUPPLIED, ne, ["sum0", "min", "max", "count"], strategy="nested")
 add("ne_multi_agg", SUPPLIER, SUPPLIED, ne, list(AGGREGATES))
@@ -93,34 +94,74 @@ for name, op in {"gt_count": gt, "le_count": le, "ge_count": ge}.items():
 def _band(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, c = read(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), read(spark, sf_dir, "customer")
     near = theta("s_acctbal", "c_acctbal", lambda a, b: (b >= a - 100) & (b <= a + 100))
-    return group_join(s, c, near, [agg.count(), agg.sum0(cents("c_acctbal"))])
+    return match_aggregate(s, c, near, [agg.count(), agg.sum0(cents("c_acctbal"))])
+
+
+def _band_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same band, without pairs."""
+    s, c = read(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), read(spark, sf_dir, "customer")
+    return match_aggregate(s, c, band("s_acctbal", "c_acctbal", -100, 100), [agg.count(), agg.sum0(cents("c_acctbal"))])
+
+
+def _sum_double(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of doubles over other keys; rounded, as their last digits depend on the order of addition."""
+    found = match_aggregate(read(spark, sf_dir, "supplier").select("s_suppkey"), read(spark, sf_dir, "lineitem"), ne("s_suppkey", "l_suppkey"), [agg.sum0("l_extendedprice", "total"), agg.min_("l_discount", "least")])
+    return found.select("s_suppkey", F.round("total").cast("bigint").alias("total"), "least")
+
+
+def _bucketed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides written as tables bucketed and sorted by key, then matched without a shuffle."""
+    sides = []
+    for name, key, cols in (("orders", "o_orderkey", ["o_orderkey"]), ("lineitem", "l_orderkey", ["l_orderkey", "l_extendedprice"])):
+        table = f"pairfold_bucketed_{name}_{spark.sparkContext.applicationId.replace('-', '_')}"
+        write(read(spark, sf_dir, name).select(cols), f"{shared_folder(spark)}/{table}", key, 8, table)
+        sides.append(spark.table(table))
+    return match_aggregate(*sides, eq("o_orderkey", "l_orderkey"), [agg.sum0(cents("l_extendedprice")), agg.count()], hint="merge")
+
+
+def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for every pool of 1,000 random values."""
+    p = generators.value_pool(spark, 1000)
+    return p.agg(F.count("value").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.count_distinct("pos").alias("positions"), (F.min("value") >= 0).alias("from_zero"), (F.count_distinct("value") > 900).alias("varied"))
+
+
+def _relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for every relation of 1,000 rows with keys from a pool."""
+    p = generators.value_pool(spark, 1000)
+    r = generators.relation(p, 1000)
+    inside = match_aggregate(r, p, eq("key", "value"), [agg.count("n")])
+    return inside.agg(F.count("key").alias("n"), F.count_distinct("other").alias("others"), F.min("other").alias("first"), F.max("other").alias("last"), F.count(F.when(F.col("n") == 0, 1)).alias("outside"), (F.count_distinct("key") > 500).alias("varied"))
+
+
+def _exists_less(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exists(read(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), read(spark, sf_dir, "customer"), gt("s_acctbal", "c_acctbal"))
 
 
 def _mod(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, c = read(spark, sf_dir, "supplier").select("s_suppkey"), read(spark, sf_dir, "customer")
-    return group_join(s, c, theta("s_suppkey", "c_custkey", lambda a, b: a % 7 == b % 7), [agg.count(), agg.sum0(cents("c_acctbal"))])
+    return match_aggregate(s, c, theta("s_suppkey", "c_custkey", lambda a, b: a % 7 == b % 7), [agg.count(), agg.sum0(cents("c_acctbal"))])
 
 
 def _two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
-    return group_join(n.drop("n"), read(spark, sf_dir, "lineitem"), eq(["l_suppkey", "l_linenumber"], ["l_suppkey", "l_linenumber"]), [agg.sum0(cents("l_extendedprice")), agg.count()])
+    return match_aggregate(n.drop("n"), read(spark, sf_dir, "lineitem"), eq(["l_suppkey", "l_linenumber"], ["l_suppkey", "l_linenumber"]), [agg.sum0(cents("l_extendedprice")), agg.count()])
 
 
 def _mod_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An equality of one's own, as an expression on the keys."""
-    return group_join(read(spark, sf_dir, "supplier").select("s_suppkey"), read(spark, sf_dir, "customer"), eq(F.col("s_suppkey") % 10, F.col("c_custkey") % 10), [agg.count()])
+    return match_aggregate(read(spark, sf_dir, "supplier").select("s_suppkey"), read(spark, sf_dir, "customer"), eq(F.col("s_suppkey") % 10, F.col("c_custkey") % 10), [agg.count()])
 
 
 def _custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A range of values, from a least and a largest one."""
     spread = agg.custom("spread", cents("l_extendedprice"), [agg.LEAST, agg.MOST], lambda a, b: b - a)
-    return group_join(read(spark, sf_dir, "orders").select("o_orderkey"), read(spark, sf_dir, "lineitem"), eq("o_orderkey", "l_orderkey"), [spread])
+    return match_aggregate(read(spark, sf_dir, "orders").select("o_orderkey"), read(spark, sf_dir, "lineitem"), eq("o_orderkey", "l_orderkey"), [spread])
 
 
 def _fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum of squared quantities, as a fold."""
     squares = agg.fold("squares", F.col("l_quantity").cast("bigint"), F.lit(0).cast("bigint"), lambda a, v: a + v * v)
-    return group_join(read(spark, sf_dir, "orders").select("o_orderkey"), read(spark, sf_dir, "lineitem"), eq("o_orderkey", "l_orderkey"), [squares])
+    return match_aggregate(read(spark, sf_dir, "orders").select("o_orderkey"), read(spark, sf_dir, "lineitem"), eq("o_orderkey", "l_orderkey"), [squares])
 
 
 def _exists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +184,7 @@ QUERIES |= {
     "theta_band": _band, "theta_mod": _mod, "eq_two_keys": _two_keys, "eq_key_expression": _mod_key, "eq_custom_agg": _custom, "eq_fold": _fold, "exists_eq": _exists, "not_exists_eq": _not_exists,
     "sel_eq": _statistic(statistics.eq_selectivity, eq("o_orderkey", "l_orderkey")), "sel_ne": _statistic(statistics.ne_selectivity, ne("o_orderkey", "l_orderkey")), "sel_lt": _statistic(statistics.lt_selectivity, "o_orderdate", "l_shipdate"), "is_key_unique": _key_unique,
     "gen_unique_rel": lambda spark, _: generators.unique_relation(spark, 1000), "gen_unique_pool": lambda spark, _: generators.unique_value_pool(spark, 1000),
-    "gen_pool": lambda spark, _: generators.value_pool(spark, 1000), "gen_rel": lambda spark, _: generators.relation(generators.value_pool(spark, 1000), 1000),
+    "gen_pool": _pool, "gen_rel": _relation, "theta_band_difference": _band_difference, "ne_sum_double": _sum_double, "eq_bucketed_merge": _bucketed_merge, "exists_gt": _exists_less,
 }
 SQL |= {
     "theta_band": "SELECT s_suppkey, s_acctbal, COUNT(c_custkey) AS count, CAST(COALESCE(SUM(CAST(ROUND(c_acctbal * 100) AS BIGINT)), 0) AS BIGINT) AS sum0 FROM supplier LEFT JOIN customer ON c_acctbal >= s_acctbal - 100 AND c_acctbal <= s_acctbal + 100 GROUP BY s_suppkey, s_acctbal",
@@ -161,3 +202,11 @@ SQL |= {
     "gen_unique_rel": 'SELECT CAST(i AS INTEGER) AS "key", CAST(i AS INTEGER) AS other FROM range(1000) t(i)',
     "gen_unique_pool": "SELECT i AS pos, CAST(i AS INTEGER) AS value FROM range(1000) t(i)",
 }
+SQL |= {
+    "theta_band_difference": SQL["theta_band"],
+    "ne_sum_double": "SELECT s_suppkey, CAST(ROUND(COALESCE(SUM(l_extendedprice), 0)) AS BIGINT) AS total, MIN(l_discount) AS least FROM supplier LEFT JOIN lineitem ON s_suppkey <> l_suppkey GROUP BY s_suppkey",
+    "eq_bucketed_merge": SQL["eq_sort_merge"],
+    "exists_gt": "SELECT s_suppkey, s_acctbal FROM supplier WHERE EXISTS (SELECT 1 FROM customer WHERE s_acctbal > c_acctbal)",
+    "gen_pool": "SELECT COUNT(*) AS n, MIN(i) AS first, MAX(i) AS last, COUNT(DISTINCT i) AS positions, TRUE AS from_zero, TRUE AS varied FROM range(1000) t(i)",
+    "gen_rel": "SELECT COUNT(*) AS n, COUNT(DISTINCT i) AS others, CAST(MIN(i) AS INTEGER) AS first, CAST(MAX(i) AS INTEGER) AS last, CAST(0 AS BIGINT) AS outside, TRUE AS varied FROM range(1000) t(i)",
+}

@@ -1,4 +1,4 @@
-"""A stream as the left side of a group join with a static right side."""
+"""A stream as the left side, matched with a static right side."""
 
 from __future__ import annotations
 
@@ -9,9 +9,9 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.aggregates import Aggregate
 from ..functions.theta import Theta
-from ..operators.api import group_join
+from ..operators.api import match_aggregate
 
 
-def stream_group_join(left: DataFrame, right: DataFrame, on: Theta, aggregates: list[Aggregate], sink: Callable[[DataFrame, int], None], **options) -> DataStreamWriter:
+def stream_match(left: DataFrame, right: DataFrame, on: Theta, aggregates: list[Aggregate], sink: Callable[[DataFrame, int], None], **options) -> DataStreamWriter:
     """A writer that hands each micro-batch of ``left``, joined with ``right``, to ``sink``; start it with a checkpoint location."""
-    return left.writeStream.foreachBatch(lambda batch, n: sink(group_join(batch, right, on, aggregates, **options), n))
+    return left.writeStream.foreachBatch(lambda batch, n: sink(match_aggregate(batch, right, on, aggregates, **options), n))

@@ -4,7 +4,7 @@ import pairfold as pf
 from pairfold.operators import statistics as st
 from pairfold.sources import generators as gen
 from pairfold.sources.tables import read, write
-from pairfold.streaming.enrich import stream_group_join
+from pairfold.streaming.enrich import stream_match
 
 
 def value(df):
@@ -42,6 +42,6 @@ def test_tables_and_streams(spark, tmp_path):
     assert read(spark, str(tmp_path), "left").count() == 30
     seen = []
     stream = spark.readStream.schema(left.schema).parquet(f"{tmp_path}/left.parquet")
-    q = stream_group_join(stream, right, pf.eq("key", "key"), [pf.sum0("other", "s")], lambda df, n: seen.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q = stream_match(stream, right, pf.eq("key", "key"), [pf.sum0("other", "s")], lambda df, n: seen.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert sorted(map(tuple, seen)) == sorted(map(tuple, pf.group_join(left, right, pf.eq("key", "key"), [pf.sum0("other", "s")]).collect()))
+    assert sorted(map(tuple, seen)) == sorted(map(tuple, pf.match_aggregate(left, right, pf.eq("key", "key"), [pf.sum0("other", "s")]).collect()))
