@@ -49,8 +49,10 @@ def borders_of(keys: DataFrame, buckets: int) -> list:
         return []
     if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
         shares = [i / buckets for i in range(1, buckets)]
-        got = keys.agg(F.percentile_approx(K, shares, max(10_000, 20 * buckets))).first()[0] or []
-        return sorted(set(got))
+        cut = F.percentile_approx(K, shares, max(10_000, 20 * buckets))
+        if isinstance(kind, T.TimestampType):  # as microseconds, which no time zone makes ambiguous
+            cut = F.transform(cut, lambda x: F.unix_micros(x))
+        return sorted(set(keys.agg(cut).first()[0] or []))
     some = keys.select(K).orderBy(F.xxhash64(K), K).limit(64 * buckets)  # a bounded sample, the same for equal data
     got = sorted(r[0] for r in some.collect())
     return sorted({got[len(got) * i // buckets] for i in range(1, buckets)}) if got else []
@@ -60,22 +62,40 @@ def buckets_of(j: Matching) -> int:
     return j.buckets or max(64, int(j.left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def bucket_of(key: Column, borders: list, kind: T.DataType) -> Column:
+def literals(borders: list, kind: T.DataType) -> list[str] | None:
+    """The borders as SQL text, in the key's type; None for a type without a plain text form."""
+    if isinstance(kind, T.StringType):
+        return [f"CAST(X'{b.encode().hex()}' AS STRING)" for b in borders]
+    if isinstance(kind, T.TimestampType):
+        return [f"timestamp_micros({b})" for b in borders]
+    if isinstance(kind, (T.NumericType, T.DateType, T.TimestampNTZType)):
+        return [f"CAST('{b}' AS {kind.simpleString()})" for b in borders]
+    return None
+
+
+def literal(value, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        return F.struct(*(literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind))).cast(kind)
+    return F.lit(value).cast(kind)
+
+
+def bucket_of(borders: list, kind: T.DataType) -> Column:
     """How many borders are at most the key: by a balanced tree of comparisons, or by bisection when that would be too much code."""
+    said, n = literals(borders, kind), len(borders)
     if not borders:
         return F.lit(0)
-    if len(borders) > TREE:
-        held, n = F.array(*(F.lit(b).cast(kind) for b in borders)), len(borders)
-        steps = [1 << k for k in reversed(range(n.bit_length()))]
-        return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda lo, step: F.when((lo + step <= n) & (F.get(held, lo + step - 1) <= key), lo + step).otherwise(lo))
+    if n > TREE or said is None:
+        held = F.expr(f"array({', '.join(said)})") if said else F.array(*(literal(b, kind) for b in borders))
+        steps = ", ".join(str(1 << k) for k in reversed(range(n.bit_length())))
+        return F.aggregate(F.expr(f"array({steps})"), F.lit(0), lambda lo, step: F.when((lo + step <= n) & (F.get(held, lo + step - 1) <= F.col(K)), lo + step).otherwise(lo))
 
-    def tree(lo: int, hi: int) -> Column:
+    def tree(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        return F.when(key < F.lit(borders[mid]).cast(kind), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return f"CASE WHEN {K} < {said[mid]} THEN {tree(lo, mid)} ELSE {tree(mid + 1, hi)} END"
 
-    return tree(0, len(borders))
+    return F.expr(tree(0, n))
 
 
 def in_buckets(j: Matching, both: DataFrame, borders: list) -> tuple[DataFrame, DataFrame]:
@@ -85,7 +105,7 @@ def in_buckets(j: Matching, both: DataFrame, borders: list) -> tuple[DataFrame,
     left keys are added up only, never sorted.
     """
     cols = [(c, s) for c, s, _ in j.states()]
-    both = both.withColumn("__pf_b", bucket_of(F.col(K), borders, both.schema[K].dataType))
+    both = both.withColumn("__pf_b", bucket_of(borders, both.schema[K].dataType))
     sums = both.groupBy("__pf_b").agg(F.max("__pf_left").alias("__pf_asked"), *(s.merge(F.when(~F.col("__pf_left"), F.col(c))).alias(c) for c, s in cols))
     order = F.col("__pf_b").desc() if upward(j) else F.col("__pf_b").asc()
     beyond = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)  # over the buckets only
@@ -105,6 +125,8 @@ def bucketed_states(j: Matching) -> DataFrame:
         borders = borders_of(both, buckets_of(j))
     else:
         borders = sorted(j.borders)
+        if isinstance(both.schema[K].dataType, T.TimestampType):
+            borders = [int(b.timestamp() * 1_000_000) for b in borders]
     both, carry = in_buckets(j, both, borders)
     carry = F.broadcast(carry)
     run = running(j, both.join(carry.select("__pf_b"), "__pf_b", "left_semi"), ["__pf_b"]).where("__pf_left").join(carry, "__pf_b")

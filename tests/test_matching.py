@@ -229,3 +229,15 @@ def test_folds_over_an_order_are_bounded(spark, monkeypatch):
     l = spark.range(20).withColumnRenamed("id", "key")
     with pytest.raises(ValueError, match="fold"):
         pf.match_aggregate(l, l, pf.lt("key", "key"), [pf.fold("f", "key", F.lit(0).cast("long"), lambda a, v: a + v)])
+
+
+def test_borders_of_every_type(spark):
+    base = spark.range(300).select(F.col("id").cast("int").alias("i"))
+    kinds = {
+        "long": F.col("i").cast("long"), "float": F.col("i") / 7.0 - 11, "decimal": (F.col("i") / 100).cast("decimal(12,3)"), "date": F.date_add(F.lit("2019-12-01").cast("date"), F.col("i")), "string": F.concat(F.lit("it's "), F.col("i").cast("string")),
+        "ntz": (F.lit("2020-10-25 00:30:00").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("i"))), "ltz": F.timestamp_seconds(F.col("i") * 600 + 1_603_580_000), "bytes": F.col("i").cast("string").cast("binary"), "pair": F.struct(F.col("i") % 7, F.col("i")),
+    }
+    for name, key in kinds.items():
+        l = base.select(key.alias("k"))
+        got = sorted(r["n"] for r in pf.match_aggregate(l, l, pf.le("k", "k"), [pf.count("n")], buckets=16).collect())
+        assert got == list(range(1, 301)), name
