@@ -135,3 +135,33 @@ def test_every_training_document_reaches_the_attention_model(spark):
     turned = [(k, " ".join(reversed(t.split())) if k == far else t) for k, t in texts]  # all word counts stay
     one, two = (lm.fit(spark.createDataFrame(x, "id long, text string").select("id", F.col("text").cast("binary").alias("text")).coalesce(1), F.lit(True), sample=1, rounds=1)["model"].p for x in (texts, turned))
     assert max(np.abs(one[k] - two[k]).max() for k in one) > 1e-5
+
+
+def test_scores_do_not_depend_on_the_partitions(spark, folder):
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
+    found = []
+    for n in (1, 5):
+        dealt = rows.repartition(n, "text")
+        found.append({r["doc_id"]: r["score"] for r in lm.score(dealt, lm.fit(dealt, F.col("id") % 7 != 2, sample=60, shard=50, rounds=1)).collect()})
+    assert found[0].keys() == found[1].keys()
+    assert max(abs(found[0][k] - v) / max(abs(v), 1) for k, v in found[1].items()) < 1e-6
+
+
+def test_held_out_scores_beat_the_base(spark):
+    got = QUERIES["op2_lm_scores"](spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+    assert got[0] > got[1] + 0.02
+
+
+def test_context_tables_are_proper():
+    rng = np.random.default_rng(3)
+    flat, count = rng.integers(0, 12, 500), np.array([100, 0, 1, 399])
+    contexts = attention.Contexts.frequent(12, flat, count, 20)
+    codes = contexts.codes(flat, count)
+    n = np.zeros((contexts.rows, 12))
+    np.add.at(n, (codes, flat), 1)
+    assert contexts.shares(n).sum(1) == pytest.approx(1, abs=1e-5) and n.sum() == 500
+    for i in range(2, 100):
+        key = flat[i - 2] * 13 + flat[i - 1]
+        at = np.flatnonzero(contexts.pairs == key)
+        assert codes[i] == (13 + at[0] if len(at) else flat[i - 1])
+    assert codes[0] in (12, *range(13, contexts.rows))
