@@ -165,3 +165,19 @@ def test_context_tables_are_proper():
         at = np.flatnonzero(contexts.pairs == key)
         assert codes[i] == (13 + at[0] if len(at) else flat[i - 1])
     assert codes[0] in (12, *range(13, contexts.rows))
+
+
+def test_words_encoded_together_have_their_own_ids(folder):
+    import pyarrow.parquet as pq
+
+    texts = [t.encode() for t in pq.read_table(f"{folder}/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    coder = lm.Encoder(*lm.public_vocabulary(), cache=500)
+    words = sorted({w for t in texts for w in lm.words_of(t)}) + [b"don't", b"\xff\xfe", "\u00e9t\u00e9".encode(), "\u65e5\u672c".encode(), b"1234567", b"!!!", "\U0001f600".encode(), b"a'll'"]
+    for some in (words, [*words, "a\u00a0b".encode(), "x\u3000".encode(), b"\x01y"]):
+        ids, heads = coder.encode_all(some)
+        assert [x.tolist() for x in np.split(ids, heads[1:])] == [coder.encode(w) for w in some]
+    for _ in range(2):
+        for t in texts[:50]:
+            number, count, ids, n, _ = coder.slice([t, None])
+            want = [i for w in lm.words_of(t) for i in coder.encode(w)] + [coder.end]
+            assert ids.tolist() == [*want, coder.end] and count.tolist() == [len(lm.words_of(t)) + 1, 1] and n.tolist() == [len(want), 1]
