@@ -40,23 +40,59 @@ def hashed(word: str, size: int) -> int:
 
 
 class Inputs:
-    """The inputs of some pages' blocks, laid end to end."""
+    """The inputs of some pages' blocks, laid end to end; elements are laid once, however many blocks are in them."""
 
     def __init__(self, pages: list[list[Block]]):
         self.count = np.array([len(p) for p in pages], int)
-        path, word, self.path_n, self.word_n, numbers = [], [], [], [], []
+        word, self.word_n, numbers, nodes, node, depth = [], [], [], [], [], []
         for p in pages:
+            for b in p:
+                line, at = [], b.node
+                while at and not (0 <= at.place < len(nodes) and nodes[at.place] is at):
+                    line.append(at)
+                    at = at.parent
+                level = depth[at.place] if at else -1
+                for k, x in enumerate(reversed(line)):
+                    x.place = len(nodes)
+                    nodes.append(x)
+                    depth.append(level + 1 + k)
+                node.append(b.node.place if b.node else -1)
             for i, b in enumerate(p):
-                path += [hashed(x, PATHS) for x in b.path]
-                self.path_n.append(len(b.path))
                 words = b.text.lower().split()
                 word += [hashed(x, WORDS) for x in words]
                 self.word_n.append(len(words))
                 n = len(b.text)
-                numbers.append((np.log1p(n) / 6, b.link, b.form, len(MARKS.findall(b.text)) / len(words), len(b.path) / 10, i / len(p), 1 / (i + 1), 1 / (len(p) - i), np.log1p(len(p)) / 4))
-        self.path, self.word = np.array(path, int), np.array(word, int)
+                numbers.append((np.log1p(n) / 6, b.link, b.form, len(MARKS.findall(b.text)) / len(words), (b.node.size if b.node else 0) / 10, i / len(p), 1 / (i + 1), 1 / (len(p) - i), np.log1p(len(p)) / 4))
+        self.word = np.array(word, int)
         self.numbers = np.array(numbers, np.float32).reshape(-1, NUMBERS)
-        self.path_n, self.word_n = np.array(self.path_n, int), np.array(self.word_n, int)
+        self.word_n = np.array(self.word_n, int)
+        self.node, self.size = np.array(node, int), np.array([x.size for x in nodes], np.float32)
+        self.own = np.array([hashed(x, PATHS) for e in nodes for x in e.own], int)
+        self.own_n = np.array([len(e.own) for e in nodes], int)
+        self.parent = np.array([e.parent.place if e.parent else -1 for e in nodes], int)
+        order = np.argsort(np.array(depth, int), kind="stable")
+        self.levels = np.split(order, np.cumsum(np.bincount(np.array(depth, int)))[:-1]) if nodes else []
+
+    def paths(self, table: np.ndarray) -> np.ndarray:
+        """Mean rows of ``table`` along each block's tag path, from sums that elements hand down to those in them."""
+        out = np.zeros((len(self.node), table.shape[1]), np.float32)
+        if len(self.parent):
+            sums = np.add.reduceat(table[self.own], np.cumsum(self.own_n) - self.own_n, axis=0)
+            for at in self.levels[1:]:
+                sums[at] += sums[self.parent[at]]
+            some = self.node >= 0
+            out[some] = (sums / self.size[:, None])[self.node[some]]
+        return out
+
+    def spread_paths(self, grad: np.ndarray) -> np.ndarray:
+        """The gradient of ``paths`` for its table."""
+        sums = np.zeros((len(self.parent), grad.shape[1]), np.float32)
+        some = self.node >= 0
+        np.add.at(sums, self.node[some], grad[some] / self.size[self.node[some], None])
+        for at in reversed(self.levels[1:]):
+            np.add.at(sums, self.parent[at], sums[at])
+        each = np.repeat(sums, self.own_n, axis=0)
+        return np.stack([np.bincount(self.own, each[:, j], PATHS) for j in range(each.shape[1])], 1).astype(np.float32)
 
 
 def bag(table: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -137,7 +173,7 @@ class Labeller:
     def run(self, x: Inputs, learn: np.ndarray | None = None) -> np.ndarray | dict[str, np.ndarray]:
         """Each block's probability; or with labels in ``learn``, the gradients of the mean log loss."""
         p = self.p
-        flat = np.hstack((bag(p["path"], x.path, x.path_n), bag(p["word"], x.word, x.word_n), x.numbers))
+        flat = np.hstack((x.paths(p["path"]), bag(p["word"], x.word, x.word_n), x.numbers))
         fore, back, page, longest = self.layout(x.count)
         state, seq, keeps = [], [], []
         for d, t in (("f", fore), ("b", back)):
@@ -160,7 +196,7 @@ class Labeller:
             grads[f"w{d}"], grads[f"u{d}"], grads[f"b{d}"], dx = backward(seq[k], p[f"w{d}"], p[f"u{d}"], keeps[k], g)
             dflat += dx[t, page]
         a, b = p["path"].shape[1], p["path"].shape[1] + p["word"].shape[1]
-        grads["path"], grads["word"] = spread(dflat[:, :a], x.path, x.path_n, PATHS), spread(dflat[:, a:b], x.word, x.word_n, WORDS)
+        grads["path"], grads["word"] = x.spread_paths(dflat[:, :a]), spread(dflat[:, a:b], x.word, x.word_n, WORDS)
         return grads
 
 
@@ -196,13 +232,17 @@ def train(pages: int = 900, rounds: int = 8, batch: int = 30, rate: float = 0.01
     return net
 
 
-def main_texts(net: Labeller, pages: list[str | None]) -> list[str]:
+def main_texts(net: Labeller, pages: list[str | None], cells: int = 1 << 15) -> list[str]:
     """The main text of each page; pages run side by side with others of like length."""
     blocks = [blocks_of(p) for p in pages]
     out = [""] * len(pages)
     order = sorted((i for i, b in enumerate(blocks) if b), key=lambda i: len(blocks[i]))
-    for at in range(0, len(order), 64):
-        some = order[at : at + 64]
+    at = 0
+    while at < len(order):  # as many pages at once as hold, padded to the longest, a bounded number of blocks
+        end = at + 1
+        while end < len(order) and end - at < 64 and (end - at + 1) * len(blocks[order[end]]) <= cells:
+            end += 1
+        some, at = order[at:end], end
         prob = net.run(Inputs([blocks[i] for i in some]))
         lo = 0
         for i in some:

@@ -76,11 +76,11 @@ def count_ngrams(df: DataFrame, text_col: str, label_col: str, buckets: int) ->
 
 def fit(df: DataFrame, text_col: str = "text", label_col: str = "lang", buckets: int = 1 << 15, alpha: float = 0.5) -> dict:
     """Class names in order, the log-probability matrix (bucket x class) and the log prior."""
-    counts = count_ngrams(df, text_col, label_col, buckets)
-    cells = counts.toPandas()
+    most = MODEL_BYTES // (8 * buckets)
+    if df.where(F.col(text_col).isNotNull()).select(F.col(label_col).cast("string").alias("x")).where("x is not null").distinct().limit(most + 1).count() > most:  # before any task counts
+        raise ValueError(f"more than {most} labels x {buckets} buckets exceed the model's {MODEL_BYTES} bytes; use fewer buckets")
+    cells = count_ngrams(df, text_col, label_col, buckets).toPandas()  # within the model's size
     names = sorted(cells["label"].unique())
-    if len(names) * buckets * 8 > MODEL_BYTES:
-        raise ValueError(f"{len(names)} labels x {buckets} buckets exceed the model's {MODEL_BYTES} bytes; use fewer buckets")
     table = np.zeros((buckets + 1, len(names)))
     table[cells["bucket"].to_numpy(), cells["label"].map({x: i for i, x in enumerate(names)}).to_numpy(int)] = cells["n"].to_numpy()  # -1: the last row
     grams, docs = table[:buckets] + alpha, table[buckets] + 1.0

@@ -3,12 +3,12 @@
 Every line gets one of two labels, bad or good. A line's features come from itself, from the lines before and after it
 and from the document (numbers of words and lines); the chain's transition weights tie neighbouring labels. The weights
 maximise the conditional likelihood of labelled documents, each of whose lines takes the document's label. At most
-``sample`` labelled documents are fitted on, taken by the hash of their ids; that bound is the only sample, and scoring
-covers every line of every text. A document's score is the mean of its lines' forward-backward marginals, weighted by
+``sample`` labelled documents of at most ``longest`` bytes are fitted on, taken by the hash of their ids; that bound is the only
+sample, and scoring covers every line of every text. A document's score is the mean of its lines' forward-backward marginals, weighted by
 line length.
 
 Defined results: a null text counts as empty, and an empty text is one empty line, so it gets the model's score for
-that; repeated ids are scored one by one; several labels of an id count as their largest; null labels teach nothing;
+that; repeated ids are scored one by one, and of their texts the first in order is learned from; several labels of an id count as their largest; null labels teach nothing;
 if no label can be learned from (or only one kind), every score is 0.5 (or that label's side of it by the fit).
 """
 
@@ -139,11 +139,12 @@ def score_texts(model: dict, texts: list[str | None]) -> np.ndarray:
     return np.clip(np.add.reduceat(good * size, heads) / np.add.reduceat(size, heads), 0, 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 3000) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 3000, longest: int = 1 << 17) -> dict:
     """Fit on at most ``sample`` labelled documents, the first by the hash of their ids."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)  # a bounded table: its size is proven by the limit
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "label")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest).groupBy("id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("label").alias("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, 1, 1 << 20):

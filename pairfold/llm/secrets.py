@@ -4,8 +4,8 @@ Strong patterns (assignments, access keys, long hex runs) are reported wherever
 accounts, endpoints, random-looking tokens) are far too common to report alone. They are parts of a credential: an
 identifier, a secret or an endpoint. Within a scope (the part's own line, the lines around it, at most ``reach`` code
 points away) an interval join links secrets with identifiers and endpoints, and a weak part is reported only when a
-complementary part shares its scope. The join walks sorted interval ends with binary search, so a document with many
-parts costs n log n, and never lists pairs.
+complementary part shares its scope. Each pattern is searched once over a text, and the join walks sorted interval ends with
+binary search, so a document with many parts costs n log n, and never lists pairs.
 
 Defined results: a null text counts as empty and has no spans; repeated rows are scanned one by one; other columns of
 the input are ignored by ``scan_secrets`` and kept by ``redact_secrets``; an empty table gives an empty table.
@@ -28,7 +28,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 NAME = re.compile(r"""\b(?:client_?id|access_?key_?id|account_?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", re.I | re.A)
 ENDPOINT = re.compile(r"""\b[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s"'<>]{3,}""", re.A)
-WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
 KINDS = ("assign", "access", "hex", "identifier", "endpoint", "weak")
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
@@ -89,21 +89,7 @@ def linked_spans(text: str, base: list[tuple[str, int, int]], reach: int = 240)
         return []
     strong = [(s, e) for k, s, e in base if k == "assign" or k == "hex" and e - s >= 32]
     taken = Intervals([(s, e) for _, s, e in base] + points + names)
-    weak, seen = [], -1
-    for s, e in sorted([*names, *points, *access]):  # weak secrets can only count within these scopes
-        lo, hi = scope_of(text, s, e, reach)
-        lo = max(lo, seen)
-        if lo >= hi:
-            continue
-        while 0 < lo < len(text) and text[lo - 1 : lo + 1].isalnum():  # not from within a token
-            lo -= 1
-        for m in WEAK.finditer(text, lo):
-            if m.start() >= hi:
-                break
-            if not taken.meets(*m.span()) and random_looking(m[0]):
-                weak.append(m.span())
-        seen = max(seen, hi)
-    weak = sorted(set(weak))
+    weak = [m.span() for m in WEAK.finditer(text) if not taken.meets(*m.span()) and random_looking(m[0])]
     keys, ids = Intervals(strong + weak), Intervals(names + points + access)
     out = [("identifier", s, e) for s, e in names if keys.meets(*scope_of(text, s, e, reach))]
     out += [("endpoint", s, e) for s, e in points if keys.meets(*scope_of(text, s, e, reach))]

@@ -56,39 +56,41 @@ class Counter:
         for piece, score in vocabulary:
             if piece:
                 self.automaton.add_word(piece, (len(piece), score))
+        self.ring = max((len(p) for p, _ in vocabulary), default=0) + 2
         self.automaton.make_automaton()
         self.unknown = min((s for _, s in vocabulary), default=0.0) - PENALTY
         self.seen: dict[str, int] = {}
         self.cache = cache
 
     def segment(self, text: str) -> int:
-        """The number of pieces of the best path."""
-        n = len(text)
-        best, count = [-math.inf] * (n + 1), [0] * (n + 1)
+        """The number of pieces of the best path; scores and counts are kept for as many positions as the longest piece spans."""
+        n, ring = len(text), self.ring
+        best, count = [-math.inf] * ring, [0] * ring
         best[0] = 0.0
         at, single, unknown = 1, False, self.unknown
 
-        def close(at: int) -> None:
-            score = best[at - 1] + unknown
-            if score > best[at]:
-                best[at], count[at] = score, count[at - 1] + len(text[at - 1].encode("utf-8", "replace"))
+        def close() -> None:
+            """Ends position ``at``, where the character before it may be unknown, and opens the next."""
+            nonlocal at, single
+            if not single:
+                score, here = best[(at - 1) % ring] + unknown, at % ring
+                if score > best[here]:
+                    best[here], count[here] = score, count[(at - 1) % ring] + len(text[at - 1].encode("utf-8", "replace"))
+            at, single = at + 1, False
+            best[at % ring] = -math.inf
 
         for end, (size, score) in self.automaton.iter(text) if len(self.automaton) else ():
             end += 1
             while at < end:
-                if not single:
-                    close(at)
-                at, single = at + 1, False
-            total = best[end - size] + score
-            if total > best[end]:
-                best[end], count[end] = total, count[end - size] + 1
+                close()
+            total, here = best[(end - size) % ring] + score, end % ring
+            if total > best[here]:
+                best[here], count[here] = total, count[(end - size) % ring] + 1
             if size == 1:
                 single = True
         while at <= n:
-            if not single:
-                close(at)
-            at, single = at + 1, False
-        return count[n]
+            close()
+        return count[n % ring]
 
     def text(self, text: str | None) -> int:
         if not text:

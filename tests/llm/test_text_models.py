@@ -181,3 +181,25 @@ def test_words_encoded_together_have_their_own_ids(folder):
             number, count, ids, n, _ = coder.slice([t, None])
             want = [i for w in lm.words_of(t) for i in coder.encode(w)] + [coder.end]
             assert ids.tolist() == [*want, coder.end] and count.tolist() == [len(lm.words_of(t)) + 1, 1] and n.tolist() == [len(want), 1]
+
+
+def test_long_segments_of_tokens():
+    counter = tokencount.Counter([("a", -1.0), ("aa", -1.5), ("aaaaa", -2.0), ("▁", -3.0)])
+    assert counter.segment("a" * 500_000) == 100_000 and counter.segment("ba" * 3) == 6
+    assert tokencount.Counter([]).segment("xé") == 3
+
+
+def test_repeated_and_long_labelled_texts(spark):
+    docs = spark.createDataFrame([(1, "a good text."), (1, "b other"), (1, None), (2, "### $$"), (3, "x" * 200_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    one = quality.fit(docs, labels)
+    two = quality.fit(spark.createDataFrame([(1, ""), (2, "### $$")], "doc_id long, text string"), labels)
+    assert np.allclose(one["w"], two["w"])
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MODEL_BYTES", 8 * (1 << 15) * 3)
+    docs = spark.createDataFrame([(f"text {k}", f"l{k}") for k in range(5)], "text string, lang string")
+    with pytest.raises(ValueError, match="labels"):
+        langid.fit(docs)
+    assert len(langid.fit(docs.limit(3))["names"]) == 3
