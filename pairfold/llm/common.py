@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,21 +22,44 @@ def id_remainder(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's own setting, else (in tests only) a local one."""
-    sc = spark.sparkContext
-    have = sc.getCheckpointDir()
-    if have:
-        return have
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "pairfold-checkpoints"))
-    return sc.getCheckpointDir()
+#: Upper case to lower case; ASCII other than digits and letters to a space; bytes of non-ASCII characters as they are.
+WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+#: Bits of a set of hashes (1 MB), a fixed size.
+FILTER_BITS = 1 << 23
+
+
+def marked_bits(ids: DataFrame, hashed: bool = True) -> DataFrame:
+    """(word, bits): a bit set of the hashes of column x (or of x itself), at most FILTER_BITS / 64 rows, whatever the number of ids."""
+    at = ids.select((F.pmod(F.xxhash64("x"), F.lit(FILTER_BITS)) if hashed else F.expr(f"x & {FILTER_BITS - 1}L")).cast("int").alias("at"))
+    return at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, at & 63)")).alias("bits"))
+
+
+def bit_set(marked: DataFrame) -> np.ndarray:
+    """A bit set as one array of fixed size."""
+    words = marked.toPandas()
+    out = np.zeros(FILTER_BITS >> 6, np.int64)
+    out[words["word"].to_numpy(int)] = words["bits"].to_numpy(np.int64)
+    return out
+
+
+def in_bits(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the set holds each number, taken modulo its size."""
+    at = at & (FILTER_BITS - 1)
+    return (bits[at >> 6] >> (at & 63)) & 1 == 1
+
 
+def without(df: DataFrame, keys: list[Column], drop: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``keys`` are not in ``drop`` (columns x, y, ...), with all their columns.
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there, so that lost executors cost no lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    Most rows are let through by a bit set of fixed size over the first keys to drop; only those that it marks are compared
+    with these keys, so most texts are never dealt anew. Null keys stay.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    at = F.pmod(F.xxhash64("x"), F.lit(FILTER_BITS)).cast("int")
+    rows = df.select(row.alias("row"), *(k.alias(c) for k, c in zip(keys, drop.columns))).withColumn("at", at).withColumn("word", F.shiftright("at", 6))
+    bits = stored(marked_bits(drop))  # of fixed size
+    marked = rows.join(F.broadcast(bits), "word", "left").withColumn("hit", F.col("bits").isNotNull() & F.expr("(bits & shiftleft(1L, at & 63)) <> 0"))
+    return marked.where("not hit").select("row").unionByName(marked.where("hit").join(drop, drop.columns, "left_anti").select("row")).select("row.*")
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: int = 1, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -1,52 +1,30 @@
 """Connected components of a large link table, by contraction.
 
-In each round every node points to its smallest neighbour (or itself), links are rewritten to the nodes pointed at, and
-links within a node vanish; the rounds end when none is left. A node's component is where its pointers lead. Each round
-is a map-side combined minimum and two joins whose inputs are read from the shared folder, so Spark may split the rows of
-a node with many links over tasks.
+In each round every node points to its smallest neighbour (or itself). Pointers lead to smaller nodes only, so they form
+trees; these are followed to their roots by doubling, links are rewritten to the roots, and links within a tree vanish. As
+every node with a link is in a tree of two or more, nodes at least halve in each round, and a chain, however long, is one
+tree: rounds and doublings grow with the logarithm of the nodes. Each step is a map-side combined minimum or a join whose
+inputs are read from the shared folder, so Spark may split the rows of a node with many links over tasks.
 """
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared checkpoint folder; it forgets how ``df`` was partitioned."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
+from ..sources.scratch import forget, stored
 
-def forget(*tables: DataFrame) -> None:
-    """Delete the files of ``stored`` tables that nothing reads any more."""
-    for t in tables:
-        for f in {x.rsplit("/", 1)[0] for x in t.inputFiles()}:
-            delete(t.sparkSession, f)
+__all__ = ["connected_components", "forget", "stored"]
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _forget_all() -> None:
-    for spark, path in _written:
-        try:
-            delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone already
-            return
+def roots(to: DataFrame) -> DataFrame:
+    """(node, to) with pointers followed to where they end; ``to`` is a stored table in which every node pointed at has a row."""
+    while True:
+        step = to.withColumnRenamed("to", "mid").join(to.select(F.col("node").alias("mid"), "to"), "mid")
+        if step.where(F.col("to") != F.col("mid")).isEmpty():
+            return to
+        before, to = to, stored(step.select("node", "to"))
+        forget(before)
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -55,7 +33,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     steps: list[DataFrame] = []
     while not now.isEmpty():
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("to")))
+        to = roots(stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("to"))))
         steps.append(to)
         a, b = to.select(F.col("node").alias("a"), F.col("to").alias("a_to")), to.select(F.col("node").alias("b"), F.col("to").alias("b_to"))
         after = now.join(a, "a").join(b, "b").where("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct()
@@ -64,9 +42,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     if not steps:
         return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     found = steps[0].select("node", F.col("to").alias("component"))
-    rest = steps[1:] + [None]
-    while rest[0] is not None:
-        step = rest.pop(0).select(F.col("node").alias("component"), "to")
-        found = found.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    for step in steps[1:]:
+        found = found.join(step.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    if len(steps) > 1:
+        found = stored(found)
+        forget(*steps)
     return found
-

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import FILTER_BITS, bit_set, in_bits, marked_bits, text_slices, without
 from .components import connected_components, forget, stored
 from .shingles import Words, shingle_counts, text_keys, word_hashes
 
@@ -42,8 +42,6 @@ CELLS, SHARE = 1 << 16, 1 << 14
 TABLE = 1 << 16
 #: Orders in which bands are dealt; bands of one order find the same leaders, so their pairs are the same.
 TURNS = 4
-#: Ids of candidates are marked in this many bits (1 MB), to skip most other documents when weighing shingles again.
-FILTER_BITS = 1 << 23
 LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -174,9 +172,13 @@ def joining_links(doc: list, label: np.ndarray, number: np.ndarray, sig: np.ndar
     return left, right
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, bands: int = 16, rows_a_band: int = 4, nearest: int = 8, part: int = 4096) -> DataFrame:
-    """doc_id and class_id (the smallest id of the class), for each row of ``df``."""
-    spark, samples, loose = df.sparkSession, bands * rows_a_band, similarity - 0.2
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, bands: int = 16, rows_a_band: int = 4, nearest: int = 8, part: int = 4096, margin: float = 0.2) -> DataFrame:
+    """doc_id and class_id (the smallest id of the class), for each row of ``df``.
+
+    Pairs are verified that are estimated at ``similarity`` less ``margin`` or more; with a margin of ``similarity``, every pair of
+    different classes that shares a band is verified, whatever its estimate.
+    """
+    spark, samples, loose = df.sparkSession, bands * rows_a_band, max(similarity - margin, 1e-6)
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     idf = cell_weights(*cell_frequencies(rows, size))
@@ -242,8 +244,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             idf, _ = shared.value
             for b in text_slices(batches, 1, 1 << 20):
-                at = b.column(2).to_numpy()
-                b = b.filter(pa.array((bits.value[at >> 6] >> (at & 63)) & 1 == 1))
+                b = b.filter(pa.array(in_bits(bits.value, b.column(2).to_numpy())))  # skips most documents that are no candidates
                 if not b.num_rows:
                     continue
                 h, weight, heads = weighted(word_hashes(b.column(1).to_pylist()), size, idf)
@@ -271,8 +272,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             _, _, keys = keyed(b)
-            at = (keys & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-            doc, number = np.nonzero((unfinished.value[at >> 6] >> (at & 63)) & 1)
+            doc, number = np.nonzero(in_bits(unfinished.value, keys.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)[doc, number]), pa.array(number.astype(np.int32)), *(b.column(k).take(pa.array(doc)) for k in (0, 1))], names=["band", "number", "doc_id", "sig"])
 
     opened = firsts.select("doc_id", "sig").mapInArrow(open_rows, f"band long, number int, doc_id {kind}, sig binary")
@@ -355,20 +355,6 @@ def joining(rows: DataFrame, kind: str, samples: int, rows_a_band: int, loose: f
     return stored(done.where("a is not null").select("a", "b").unionByName(crossed))
 
 
-def marked_bits(ids: DataFrame, hashed: bool = True) -> DataFrame:
-    """(word, bits): a bit set of the hashes of column x (or of x itself), at most FILTER_BITS / 64 rows, whatever the number of ids."""
-    at = ids.select((F.pmod(F.xxhash64("x"), F.lit(FILTER_BITS)) if hashed else F.expr(f"x & {FILTER_BITS - 1}L")).cast("int").alias("at"))
-    return at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, at & 63)")).alias("bits"))
-
-
-def bit_set(marked: DataFrame) -> np.ndarray:
-    """A bit set as one array of fixed size."""
-    words = marked.toPandas()
-    out = np.zeros(FILTER_BITS >> 6, np.int64)
-    out[words["word"].to_numpy(int)] = words["bits"].to_numpy(np.int64)
-    return out
-
-
 def jaccard(ha: bytes, wa: bytes, hb: bytes, wb: bytes) -> float:
     """Weighted Jaccard similarity of two sets given as sorted hashes and weights."""
     a, b = np.frombuffer(ha, np.uint64), np.frombuffer(hb, np.uint64)
@@ -384,16 +370,11 @@ def jaccard(ha: bytes, wa: bytes, hb: bytes, wb: bytes) -> float:
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df`` with the smallest id of each class, with all their columns; of rows with equal ids one stays.
 
-    Rows without an id cannot be told apart and all stay. Most rows are let through by a bit set of fixed size over the ids to
-    drop; only those that it marks are compared with these ids, so most texts are never dealt anew.
+    Rows without an id cannot be told apart and all stay.
     """
     classes = stored(near_duplicates(df, id_col, text_col, **options))
-    drop = stored(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("x")))
-    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
-    at = F.pmod(F.xxhash64("x"), F.lit(FILTER_BITS)).cast("int")
-    rows = df.select(row.alias("row"), F.col(id_col).alias("x")).withColumn("at", at).withColumn("word", F.shiftright("at", 6))
-    marked = rows.join(F.broadcast(stored(marked_bits(drop))), "word", "left").withColumn("hit", F.col("bits").isNotNull() & F.expr("(bits & shiftleft(1L, at & 63)) <> 0"))
-    kept = marked.where("not hit").select("row").unionByName(marked.where("hit").join(drop.hint("merge"), "x", "left_anti").select("row")).select("row.*")
+    drop = stored(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("x")).distinct())
+    kept = without(df, [F.col(f"`{id_col}`")], drop)
     repeated = classes.agg((F.count("doc_id") > F.count_distinct("doc_id")).alias("x")).first()["x"]
     if not repeated:
         return kept

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .decontam import WORD_BYTES
+from .common import WORD_BYTES
 
 PRIME = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(PRIME, -1, 1 << 64)

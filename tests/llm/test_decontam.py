@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 
 from pairfold.llm import decontam as D
@@ -58,3 +59,50 @@ def test_empty_tables_and_extra_columns(spark, awkward):
     kept = D.drop_contaminated(awkward, spark.createDataFrame([(1, "quick brown fox")], "item_id long, text string"))
     assert kept.columns == awkward.columns and kept.count() == awkward.count() - 2
     assert D.find_matches(awkward.limit(0), items).count() == 0
+
+
+def test_altered_copies_are_near_whatever_the_slices(spark):
+    passage = [f"rare{i}" for i in range(20)]
+    altered = [*passage[:6], "changed", *passage[7:13], "other", *passage[14:]]  # a word replaced in each window of 13
+    docs = [(0, " ".join(["common"] * 30 + altered)), *((k, " ".join(["common", "words", f"w{k}"] * 40)) for k in range(1, 30)), (50, " ".join(passage))]
+    items = spark.createDataFrame([(1, " ".join(passage)), (2, "common words common")], "item_id long, text string")
+    seen = []
+    for parts in (1, 4, 31):
+        got = {r["doc_id"]: r for r in D.find_matches(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts, "doc_id"), items).collect()}
+        assert got[0]["n_near"] >= 8 and not got[0]["contaminated"] and got[0]["n_hit"] == 0 and got[50]["contaminated"]
+        seen.append({k: (r["n_near"], r["n_hit"], r["items"]) for k, r in got.items()})
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_column_names_and_digest(spark):
+    import hashlib
+
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string").withColumn("my col", D.F.lit(1)).withColumn("a.b", D.F.lit("x")).withColumn("runs", D.F.lit(2))
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    want = brute(DOCS, ITEMS)
+    for r, (d, n, hit, found, bad) in zip(sorted(D.digest(D.find_matches(docs, items)).collect(), key=lambda r: str((r["doc_id"], r["n_words"], r["n_hit"]))), sorted(want, key=lambda x: str(x[:3]))):
+        assert (r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (d, n, hit, len(found), bad)
+        assert r["items_sha256"] == hashlib.sha256(",".join(found).encode()).hexdigest()
+    kept = D.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(d) for d, _, _, _, bad in want if not bad)
+
+
+def test_items_with_a_null_id_hit_but_are_not_listed(spark):
+    docs, items = spark.createDataFrame([(1, "x only here y")], "doc_id long, text string"), spark.createDataFrame([(None, "only here")], "item_id long, text string")
+    r = D.find_matches(docs, items).first()
+    assert (r["n_hit"], r["items"], r["contaminated"]) == (2, [], True)
+
+
+def test_many_items_cost_what_their_terms_meet(spark):
+    import random
+    import time
+
+    r = random.Random(1)
+    items = [(str(k), [b"w%d" % r.randrange(3000) for _ in range(25)]) for k in range(20_000)]
+    test = D.TestWindows(items, 13)
+    texts = [b" ".join(b"w%d" % r.randrange(3000) for _ in range(300)) for _ in range(200)] + [b" ".join(items[7][1])]
+    shard = D.Shard.of(texts, 17)
+    ranked = D.Ranked.of(test, np.ones(len(test.terms), np.int64), 3, 5)
+    begun = time.process_time()
+    found = D.match_shard(shard, ranked, 4)
+    assert found[-1][0] == [(0, 25)] and "7" in found[-1][1] and time.process_time() - begun < 30

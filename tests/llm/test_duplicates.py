@@ -27,6 +27,19 @@ def test_components_of_chains_stars_and_cycles(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_long_chain_takes_few_steps(spark, monkeypatch):
+    from pairfold.llm import components
+
+    kept, written = components.stored, []
+    monkeypatch.setattr(components, "stored", lambda df: written.append(1) or kept(df))
+    n = 1000
+    got = {x["node"]: x["component"] for x in connected_components(spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))).collect()}
+    assert got == dict.fromkeys(range(n + 1), 0) and len(written) <= 15
+    zigzag = [((i * 37) % 500, ((i + 1) * 37) % 500) for i in range(499)]
+    written.clear()
+    assert set(x["component"] for x in connected_components(spark.createDataFrame(zigzag, "a long, b long")).collect()) == {0} and len(written) <= 24
+
+
 def test_shingles_match_sets_of_words():
     texts = [b"", None, b"One two", b"a b c d e f g", b"A, b; C d e f g", b"w w w w w w w w", "été der süß five words here".encode(), b"one two"]
     w = shingles.word_hashes(texts)
