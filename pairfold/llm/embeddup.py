@@ -1,11 +1,13 @@
 """Links and components of embeddings by cosine, over an inverted multi-index.
 
-Unit vectors are cut in halves. Each half has a codebook of its own (k-means on a bounded sample, ``sample`` vectors taken
-by hash), and the product of the codebooks is a grid of cells. Every vector is indexed in its cell and is a query too: it
-visits cells in the order of the multi-sequence traversal, by the sum of its halves' squared distances to the cell's
-centroids. How many it visits is calibrated: sample vectors are moved to exactly the threshold in random directions, and
-the depth is the one at which the wanted share of them is found. A pair can be found from either end, so with a target
-of ``recall`` for pairs, one end needs 1 - sqrt(1 - recall). What is found is verified by cosine in double precision.
+Unit vectors are cut in halves. Each half has a codebook of its own (k-means on a bounded sample of ``sample`` vectors, and 16
+for each centroid, taken by hash), and the product of the codebooks is a grid of cells. Every vector is indexed in its cell and
+is a query too: it visits cells in the order of the multi-sequence traversal, by the sum of its halves' squared distances to the
+cell's centroids. How many it visits is calibrated twice, and the larger number counts: on ``probes`` vectors compared exactly
+with all vectors (a pair is found from either end, so the better end of each true link is what counts), and on sample vectors
+moved to exactly the threshold in random directions, which serves where true links are few. What is found is verified by
+cosine in double precision. A target ``recall`` of 1 compares all vectors of a label, exactly; so do lengths of vectors of which
+there are fewer than ``small``, all in one pass however many lengths there are.
 
 Equal vectors of a label become one row with a multiplicity first (map-side combined). Index and query rows are dealt by
 range of (label, cell, random number) and packed into blocks of at most ``block`` rows, so a cell of most vectors is many
@@ -14,8 +16,9 @@ a spanning forest of its links, never the pairs. A link that only one end finds
 the other end finds it is recomputed from its visiting radius, so nothing counts twice.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those with a null label,
-link with nothing; vectors of different lengths do not link; rows with equal ids are one vector when they are equal; a
-null id is a row of its own with a null component; an empty table gives an empty table.
+link with nothing; vectors of different lengths do not link; rows with equal ids are one vector when they are equal, and
+else one node, which has the links of all its vectors but none to itself; a null id is a row of its own with a null
+component; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components, stored
+from .components import connected_components, forget, stored
 
 
 def unit(raw: list[bytes]) -> np.ndarray:
@@ -63,17 +67,28 @@ class Grid:
         rng = np.random.default_rng(seed)
         self.books = [codebook(h, k, rng) for h in halves(x)]
         self.k = [len(c) for c in self.books]
+        self.depth = 1
+        if not len(x) or max(self.k) == 1:
+            return
+        x = x[rng.permutation(len(x))[:4000]]
         y = rng.standard_normal(x.shape)
         y -= (y * x).sum(1, keepdims=True) * x
         y /= np.maximum(np.sqrt((y * y).sum(1, keepdims=True)), 1e-300)
-        moved = threshold * x + np.sqrt(1 - threshold**2) * y
-        need = []
+        need = self.needed(x, threshold * x + np.sqrt(1 - threshold**2) * y)
+        self.depth = int(np.ceil(np.quantile(need, 1 - np.sqrt(1 - recall))))
+
+    def needed(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many cells each row of ``x`` must visit to reach the cell of that row of ``y``."""
+        out = np.empty(len(x), np.int64)
         for at in range(0, len(x), 256):
             d1, d2 = self.distances(x[at : at + 256])
-            i, j = (d.argmin(1) for d in self.distances(moved[at : at + 256]))
+            i, j = (d.argmin(1) for d in self.distances(y[at : at + 256]))
             rows = np.arange(len(d1))
-            need.append((d1[:, :, None] + d2[:, None, :] <= (d1[rows, i] + d2[rows, j])[:, None, None]).sum((1, 2)))
-        self.depth = int(np.ceil(np.quantile(np.concatenate(need), 1 - np.sqrt(1 - recall)))) if len(x) else 1
+            far = d1[rows, i] + d2[rows, j]
+            d2.sort(1)
+            for r in rows:
+                out[at + r] = np.searchsorted(d2[r], far[r] - d1[r] + 1e-12, side="right").sum()
+        return out
 
     def distances(self, x: np.ndarray) -> list[np.ndarray]:
         return [far(h, c) for h, c in zip(halves(x), self.books)]
@@ -89,8 +104,8 @@ class Grid:
         traversal needs the sums of these alone; all rows of ``x`` go along together.
         """
         d1, d2 = self.distances(x)
-        o1, o2 = d1.argsort(1, kind="stable"), d2.argsort(1, kind="stable")
-        r, s = np.meshgrid(np.arange(self.k[0]), np.arange(self.k[1]), indexing="ij")
+        o1, o2 = (nearest(d, self.depth + 1) for d in (d1, d2))
+        r, s = np.meshgrid(np.arange(o1.shape[1]), np.arange(o2.shape[1]), indexing="ij")
         near = (r + 1) * (s + 1) <= self.depth + 1
         r, s = r[near], s[near]
         i, j = o1[:, r], o2[:, s]
@@ -111,6 +126,14 @@ class Grid:
         return ((a - c[i]) ** 2).sum(1) + ((b - d[j]) ** 2).sum(1) <= radius
 
 
+def nearest(d: np.ndarray, n: int) -> np.ndarray:
+    """Columns of the ``n`` least of each row, in order."""
+    if n < d.shape[1]:
+        some = np.argpartition(d, n - 1, axis=1)[:, :n]
+        return np.take_along_axis(some, np.take_along_axis(d, some, 1).argsort(1, kind="stable"), 1)
+    return d.argsort(1, kind="stable")
+
+
 def forest(hit: np.ndarray, q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, other node) that connect what the matches ``hit`` (q rows, x columns) connect, at most one for each node."""
     r, c = np.nonzero(hit)
@@ -128,44 +151,90 @@ def forest(hit: np.ndarray, q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, n
         label = new
 
 
-def link_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, recall: float = 0.995, sample: int = 4000, block: int = 512) -> DataFrame:
-    """vec_id, n_links and component_id for each row of ``df``; ids are whole numbers."""
+def usable(labels: pa.Array, vectors: pa.Array) -> pa.Array:
+    """Each vector's bytes in double precision; null for those that link with nothing."""
+    lens = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.cast(vectors.flatten(), pa.float64())
+    x = pc.fill_null(flat, np.nan).to_numpy(zero_copy_only=False) + 0.0  # no negative zeros
+    heads = np.cumsum(lens) - lens
+    some = lens > 0
+    good = np.zeros(len(lens), bool)
+    if some.any():
+        good[some] = np.logical_and.reduceat(np.isfinite(x), heads[some]) & np.logical_or.reduceat(x != 0, heads[some])
+    good &= labels.is_valid().to_numpy(zero_copy_only=False)
+    raw = x.tobytes()
+    return pa.array([raw[8 * a : 8 * (a + n)] if ok else None for a, n, ok in zip(heads.tolist(), lens.tolist(), good.tolist())], pa.binary())
+
+
+def link_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, recall: float = 0.995, sample: int = 4000, block: int = 512, probes: int = 512, small: int = 4096, cell: int = 512) -> DataFrame:
+    """vec_id, n_links and component_id for each row of ``df``; ids are whole numbers. A cell of the grid holds about ``cell`` vectors."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = []
-            for label, v in zip(b.column(1).to_pylist(), b.column(2)):
-                x = None if label is None or v.as_py() is None or None in v.as_py() else np.array(v.as_py(), np.float64) + 0.0
-                raw.append(x.tobytes() if x is not None and len(x) and np.isfinite(x).all() and x.any() else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary())], names=["vec_id", "label", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), usable(b.column(1), b.column(2))], names=["vec_id", "label", "v"])
 
     held = stored(rows.mapInArrow(check, "vec_id long, label string, v binary").withColumn("key", F.when(F.col("v").isNotNull(), F.md5("v"))))
     good = held.where("v is not null and vec_id is not null").withColumn("label", F.concat_ws(":", F.octet_length("v"), "label"))
-    copies = stored(good.select("vec_id", "label", "key", "v").distinct().groupBy("label", "key").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n"), F.min("v").alias("v")))
-    sizes = sorted(r[0] for r in copies.select(F.octet_length("v")).distinct().limit(1000).collect())
-    parts = [_link(copies.where(F.octet_length("v") == s), spark, threshold, recall, sample, block) for s in sizes]
+    copies = stored(good.select("vec_id", "label", "key", "v").distinct().groupBy("label", "key").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n"), F.min("v").alias("v")).withColumn("size", F.octet_length("v")))
+    sizes = stored(copies.groupBy("size").agg(F.count(F.lit(1)).alias("count")))
+    large = [] if recall >= 1 else [(r["size"], r["count"]) for r in sizes.where(F.col("count") >= small).toLocalIterator()]  # each worth a grid of its own
+    found = _link(copies.join(sizes.where(F.col("count") < small).select("size"), "size") if large else copies, 1, threshold, 1.0, sample, block, 0)
+    for size, count in large:
+        found = found.unionByName(_link(copies.where(F.col("size") == size), int(np.clip(np.sqrt(count / cell), 1, 8192)), threshold, recall, sample, block, probes))
     out = held.withColumn("full", F.concat_ws(":", F.octet_length("v"), "label")).select("vec_id", F.when(F.col("v").isNotNull(), F.col("full")).alias("label"), "key")
-    if not parts:
-        return out.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
     found = stored(found)
     sums = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     member = connected_components(found.where("b is not null").select("a", "b"))
     each = copies.select("label", "key", "node", "n").join(sums, "node", "left").join(member, "node", "left")
     each = stored(each.select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "node").alias("component")))
+    forget(found, copies)
     return out.join(each, ["label", "key"], "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
 
 
-def _link(copies: DataFrame, spark, threshold: float, recall: float, sample: int, block: int) -> DataFrame:
-    """Links between vectors of one length: sums (a, n) and forest links (a, b)."""
-    count = copies.count()
-    picked = copies.select("v", "key").orderBy("key").limit(sample).toPandas()  # a bounded sample
-    k = int(np.clip(np.sqrt(count / 64), 1, 1024))
-    grid = spark.sparkContext.broadcast(Grid(unit(list(picked["v"])), k, threshold, recall))
+def calibrated(copies: DataFrame, picked, grid: Grid, threshold: float, recall: float, hits: int = 2000) -> int:
+    """The depth at which ``recall`` of the true links of the picked vectors are found, from the end that needs less.
+
+    The picked vectors are compared exactly with all vectors. Of a slice's links at most ``hits``, evenly spaced, are measured; depths
+    are counted in steps of a quarter of a doubling, a fixed number.
+    """
+    probe = unit(list(picked["v"]))
+    shared = copies.sparkSession.sparkContext.broadcast((probe, picked["label"].to_numpy(str), picked["node"].to_numpy(np.int64), grid))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probe, labels, nodes, grid = shared.value
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2048):
+                b = whole.slice(lo, 2048)
+                x = unit(b.column(2).to_pylist())
+                hit = (probe @ x.T >= threshold) & (labels[:, None] == b.column(0).to_numpy(zero_copy_only=False).astype(str)) & (nodes[:, None] != b.column(1).to_numpy())
+                q, at = np.nonzero(hit)
+                if len(q) > hits:
+                    some = np.linspace(0, len(q) - 1, hits).astype(int)
+                    q, at = q[some], at[some]
+                if len(q):
+                    need = np.minimum(grid.needed(probe[q], x[at]), grid.needed(x[at], probe[q]))
+                    step, n = np.unique(np.ceil(4 * np.log2(need)).astype(np.int32), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(n)], names=["step", "n"])
+
+    got = copies.select("label", "node", "v").mapInArrow(run, "step int, n long").groupBy("step").agg(F.sum("n").alias("n")).toPandas().sort_values("step")
+    if not len(got):
+        return 1
+    enough = int(np.searchsorted(got["n"].cumsum().to_numpy(), recall * got["n"].sum()))
+    return int(np.floor(2 ** (got["step"].to_numpy()[min(enough, len(got) - 1)] / 4) + 1e-9))
+
+
+def _link(copies: DataFrame, k: int, threshold: float, recall: float, sample: int, block: int, probes: int) -> DataFrame:
+    """Links between vectors (of one length, if ``k`` is more than 1): sums (a, n) and forest links (a, b)."""
+    spark = copies.sparkSession
+    if k > 1:
+        picked = copies.select("label", "node", "v", "key").orderBy("key").limit(max(sample, 16 * k)).toPandas()  # a bounded sample
+        made = Grid(unit(list(picked["v"])), k, threshold, recall)
+        made.depth = max(made.depth, calibrated(copies, picked.iloc[:probes], made, threshold, recall))
+    else:
+        made = None
+    grid = spark.sparkContext.broadcast(made)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Index rows, and a query row for each visit."""
@@ -173,10 +242,14 @@ def _link(copies: DataFrame, spark, threshold: float, recall: float, sample: int
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
-                x = unit(b.column(3).to_pylist())
-                own = grid.value.cells(x)
-                row, cell, radius = grid.value.visits(x)
-                for q, r, c in ((False, np.arange(len(x)), own), (True, row, cell)):
+                if grid.value is None:  # one cell
+                    own = np.zeros(b.num_rows, np.int64)
+                    row, cell, radius = np.arange(b.num_rows), own, own + 1.0
+                else:
+                    x = unit(b.column(3).to_pylist())
+                    own = grid.value.cells(x)
+                    row, cell, radius = grid.value.visits(x)
+                for q, r, c in ((False, np.arange(b.num_rows), own), (True, row, cell)):
                     at = pa.array(r)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(np.full(len(r), q)), pa.array(c), pa.array(own[r]), b.column(1).take(at), b.column(2).take(at), pa.array(radius[r]), b.column(3).take(at)], names=names)
 
@@ -205,14 +278,14 @@ def _link(copies: DataFrame, spark, threshold: float, recall: float, sample: int
                 x_radius = np.frombuffer(x_radius, np.float64)
                 a = unit([qv[i : i + len(qv) // len(q)] for i in range(0, len(qv), len(qv) // len(q))])
                 c = unit([xv[i : i + len(xv) // len(x)] for i in range(0, len(xv), len(xv) // len(x))])
-                hit = (a @ c.T >= threshold) & (q[:, None] != x)
+                hit = (a @ c.T >= threshold) & (q[:, None] != x)  # vectors of a label have one length
                 if not hit.any():
                     continue
                 i, j = np.nonzero(hit)
                 alone = np.ones(len(i), bool)
                 for lo in range(0, len(i), 1 << 14):
                     part = slice(lo, lo + (1 << 14))
-                    alone[part] = ~grid.value.reaches(c[j[part]], q_own[i[part]], x_radius[j[part]])
+                    alone[part] = False if grid.value is None else ~grid.value.reaches(c[j[part]], q_own[i[part]], x_radius[j[part]])
                 from_q, from_x = np.bincount(i, x_n[j], len(q)).astype(np.int64), np.bincount(j[alone], q_n[i[alone]], len(x)).astype(np.int64)
                 n, m = np.flatnonzero(from_q), np.flatnonzero(from_x)
                 up, to = forest(hit, q, x)

@@ -203,3 +203,35 @@ def test_traversal_visits_the_nearest_cells():
     for i in range(60):
         assert set(cell[row == i].tolist()) == set(np.flatnonzero(total[i] <= radius[i]).tolist())
         assert (row == i).sum() >= min(grid.depth, 25)
+
+
+@pytest.mark.parametrize("rank", [0, 4, 8])
+def test_recall_on_a_grid_of_many_cells(spark, rank):
+    """Isotropic families, and vectors of a subspace, against all pairs."""
+    rng = np.random.default_rng(rank)
+    n, d = 8000, 64
+    if rank:
+        x = rng.normal(size=(n, rank)) @ rng.normal(size=(rank, d))
+    else:
+        x = rng.normal(size=(n // 4, d)).repeat(4, 0)
+        x += rng.normal(size=(n, d)) * rng.choice([0.15, 0.25, 0.3], (n, 1))
+    x = x.astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hit = u @ u.T >= 0.93
+    np.fill_diagonal(hit, False)
+    df = spark.createDataFrame([(k, v, 1) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    got = embeddup.link_vectors(df).toPandas().set_index("vec_id").loc[range(n)]
+    assert hit.sum() > 3000 and got["n_links"].sum() >= 0.99 * hit.sum()
+    assert (got["n_links"].to_numpy() <= hit.sum(1)).all()
+    if not rank:
+        exact = embeddup.link_vectors(df, recall=1.0).toPandas().set_index("vec_id").loc[range(n)]
+        assert (exact["n_links"].to_numpy() == hit.sum(1)).all()
+
+
+def test_many_lengths_and_repeated_ids(spark):
+    rows = [(k, [1.0] * (1 + k % 1500), 0) for k in range(3000)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {k: (1, k % 1500) for k in range(3000)}
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.1], 0), (3, [0.1, 1.0], 0), (3, [0.1, 1.0], 0), (4, [1.0, 1.0], 0)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 2, 1), (1, 2, 1), (2, 1, 1), (3, 1, 1), (3, 1, 1), (4, 0, 4)]
