@@ -53,7 +53,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    mixed = mixing.mix(docs, mixing.source_targets(docs))
+    mixed = mixing.mix(docs)
     return mixed.select("row.doc_id", "row.source", F.col("mix.tokens").alias("n_tokens"), "mix.rate", "mix.copies")
 
 

@@ -157,3 +157,65 @@ def test_deep_pages_take_linear_time(net):
 def test_formulas_and_unclosed_elements_stay():
     assert [b.text for b in blocks_of("<p>a <math><mi>x</mi>=1</math> b</p><object><p>fallback</p></object><svg><p>after</p>")] == ["a x=1 b", "fallback", "after"]
     assert [b.text for b in blocks_of("<p>a</p><svg><text>no</text></svg><select><option>no</select><p>b<script>no")] == ["a", "b"]
+
+
+def domain_documents(spark, n=600):
+    import random
+
+    r = random.Random(4)
+    own = {d: [f"{d}{i}word" for i in range(30)] for d in "abc"}
+    rows = []
+    for i in range(n):
+        d = "abc"[i % 3]
+        words = [r.choice(own[d]) if r.random() < 0.3 else f"common{r.randrange(50)}" for _ in range(40)]
+        rows.append((i, " ".join(words), "en", None if i % 4 == 0 else d, d))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, truth string")
+
+
+def test_content_tells_the_domain_of_unlabelled_documents(spark):
+    docs = domain_documents(spark)
+    names = ["a", "b", "c"]
+    marked = mixing.with_cell(docs, names, "source", "text", "lang", mixing.fit_markers(docs, names, "source", "text"))
+    keys = [F.col(f"mix.{f}").alias(f) for f in mixing.FEATURES]
+    cells = marked.select(*keys, F.col("mix.tokens").alias("tokens")).groupBy(*mixing.FEATURES).agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"))
+    post = mixing.posteriors(cells, 3, 0.95).select(F.struct(*mixing.FEATURES).alias("cell"), "post")
+    found = marked.where("source is null").select("truth", F.struct(*keys).alias("cell")).join(post, "cell").collect()
+    right = [names[int(np.argmax(r["post"]))] == r["truth"] for r in found]
+    assert len(right) == 150 and np.mean(right) > 0.9
+
+
+def test_posteriors_match_plain_naive_bayes(spark):
+    docs = domain_documents(spark, 200)
+    names = ["a", "b", "c"]
+    cells = mixing.with_cell(docs, names, "source", "text", "lang", mixing.fit_markers(docs, names, "source", "text")).select(*(F.col(f"mix.{f}").alias(f) for f in mixing.FEATURES), F.col("mix.tokens").alias("tokens")).groupBy(*mixing.FEATURES).agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"))
+    rows = cells.collect()
+    total = [sum(r["docs"] for r in rows if r["own"] == d) for d in range(3)]
+    want = {}
+    for r in rows:
+        score = [np.log(t + 1) for t in total]
+        for f in mixing.FEATURES[1:]:
+            n = [sum(x["docs"] for x in rows if x["own"] == d and x[f] == r[f]) for d in range(3)]
+            if sum(n) or any(x[f] == r[f] and x["own"] >= 0 for x in rows):
+                score = [s + np.log((a + 0.5) / (t + 32)) for s, a, t in zip(score, n, total)]
+        if r["own"] >= 0:
+            score = [s + np.log(0.95 if d == r["own"] else 0.025) for d, s in enumerate(score)]
+        e = np.exp(np.array(score) - max(score))
+        want[tuple(r[f] for f in mixing.FEATURES)] = e / e.sum()
+    for r in mixing.posteriors(cells, 3, 0.95).collect():
+        assert r["post"] == pytest.approx(want[tuple(r[f] for f in mixing.FEATURES)])
+
+
+def test_targets_count_tokens_and_gaps_are_reported(spark):
+    docs = spark.createDataFrame([(1, "a b  c\n", "en", "x"), (2, "longerwords", "en", "y"), (3, None, "en", "y"), (None, " ", "en", None)], "doc_id long, text string, lang string, source string")
+    assert mixing.source_targets(docs, power=1.0) == {"x": 0.75, "y": 0.25}
+    assert [r["mix"]["tokens"] for r in mixing.mix(docs).orderBy("row.doc_id").collect()] == [0, 3, 1, 0]
+    cells = spark.createDataFrame([(5, [0.5, 0.5]), (5, [0.6, 0.4])], "tokens long, post array<double>")
+    with pytest.warns(UserWarning, match="off its target"):
+        mixing.fit_rates(cells, [0.99, 0.01])
+    whole = domain_documents(spark)
+    got = mixing.mix(whole).select("row.*", "mix.*").toPandas()
+    labelled = got[got.source.notna()]
+    share = (labelled.tokens * labelled.rate).groupby(labelled.source).sum()
+    assert (share / share.sum()).to_numpy() == pytest.approx([1 / 3] * 3, abs=0.02)
+    copies = got.copies - got.rate
+    assert abs(copies).max() < 1 and abs(copies.mean()) < 0.05
