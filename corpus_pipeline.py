@@ -38,7 +38,7 @@ def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with how often to draw each for the target mix of sources (rate, and copies in whole numbers)."""
-    out = mixing.mix(docs, mixing.source_targets(docs))
+    out = mixing.mix(docs)
     return out.select("row.*", F.col("mix.rate").alias("mix_rate"), F.col("mix.copies").alias("mix_copies"))
 
 
