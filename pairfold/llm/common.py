@@ -62,6 +62,18 @@ def without(df: DataFrame, keys: list[Column], drop: DataFrame) -> DataFrame:
     return marked.where("not hit").select("row").unionByName(marked.where("hit").join(drop, drop.columns, "left_anti").select("row")).select("row.*")
 
 
+def hashed_sample(rows: DataFrame, by: list[str], most: int, where: Column | None = None) -> DataFrame:
+    """At most ``most`` of the rows (of those where ``where`` holds), the first by the hash of the columns ``by``; equal data, equal sample.
+
+    The rows are counted first, and only the share of hashes that holds about twice as many is ordered, so that tasks hand few
+    rows to the one that orders them, however many tasks there are.
+    """
+    count = rows.count()
+    h = F.xxhash64(*by)
+    near = F.pmod(F.xxhash64(F.lit(1), *by), F.lit(1 << 30)) < min(1 << 30, (1 << 31) * most // max(count, 1) + 1)
+    return rows.where(near if where is None else near & where).orderBy(h, *by).limit(most)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: int = 1, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of a slice stay near ``max_bytes``; a longer text has a slice of its own."""
     for batch in batches:

@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hashed_sample
 from .components import connected_components, forget, stored
 
 
@@ -229,7 +230,7 @@ def _link(copies: DataFrame, k: int, threshold: float, recall: float, sample: in
     """Links between vectors (of one length, if ``k`` is more than 1): sums (a, n) and forest links (a, b)."""
     spark = copies.sparkSession
     if k > 1:
-        picked = copies.select("label", "node", "v", "key").orderBy("key").limit(max(sample, 16 * k)).toPandas()  # a bounded sample
+        picked = hashed_sample(copies.select("label", "node", "v", "key"), ["key", "label"], max(sample, 16 * k)).toPandas()  # a bounded sample
         made = Grid(unit(list(picked["v"])), k, threshold, recall)
         made.depth = max(made.depth, calibrated(copies, picked.iloc[:probes], made, threshold, recall))
     else:

@@ -35,6 +35,7 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hashed_sample
 from .components import stored
 
 FEATURES = ("own", "lang", "size", "lines", "wide", "says")
@@ -62,8 +63,8 @@ def fit_markers(df: DataFrame, domains: list[str], domain_col: str, text_col: st
     Learned from at most ``sample`` labelled texts of at most ``longest`` bytes, the first by hash.
     """
     k = len(domains)
-    rows = df.select(label_number(F.col(domain_col), domains).alias("own"), F.col(text_col).alias("text")).where(f"own >= 0 and octet_length(text) between 1 and {longest}")
-    some = stored(rows.orderBy(F.xxhash64("text"), "own").limit(sample))  # a bounded sample
+    rows = df.select(label_number(F.col(domain_col), domains).alias("own"), F.col(text_col).alias("text")).where("own >= 0")
+    some = stored(hashed_sample(rows, ["text", "own"], sample, F.expr(f"octet_length(text) between 1 and {longest}")))  # a bounded sample
     docs = {r["own"]: r["count"] for r in some.groupBy("own").count().collect()}  # at most a row for each domain
     n = sum(docs.values())
     if len(docs) < 2:

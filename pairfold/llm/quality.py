@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import hashed_sample, text_slices
 
 #: Byte classes: 0 other letters and spaces, 1 digit, 2 upper case, 3 punctuation of prose, 4 further symbols, 5 part of a non-ASCII character, 6 sentence end
 CLASS = np.zeros(256, np.uint8)
@@ -142,7 +142,7 @@ def score_texts(model: dict, texts: list[str | None]) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 3000, longest: int = 1 << 17) -> dict:
     """Fit on at most ``sample`` labelled documents, the first by the hash of their ids."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)  # a bounded table: its size is proven by the limit
+    chosen = hashed_sample(known, ["id"], sample)  # a bounded table: its size is proven by the limit
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     rows = rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest).groupBy("id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("label").alias("label"))
 
