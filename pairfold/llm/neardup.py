@@ -133,14 +133,14 @@ def band_pairs(band: np.ndarray, doc: list, low: np.ndarray, loose: float, neare
         for lo in range(first, end, part):
             x = low[lo : min(end, lo + part)]
             n = len(x)
-            near = np.empty((n, n), np.float32)
+            near = np.empty((n, n), np.uint16)  # equal samples
             step = max(1, (4 << 20) // (n * x.shape[1]))
             for i in range(0, n, step):
-                near[i : i + step] = (x[i : i + step, None, :] == x).mean(2, dtype=np.float32)
+                near[i : i + step] = (x[i : i + step, None, :] == x).sum(2, dtype=np.uint16)
             np.fill_diagonal(near, 0)
-            near[near < loose] = 0
-            centre = int(near.sum(1).argmax())
-            some = np.concatenate([np.argpartition(-near[i : i + 256], min(nearest, n - 1), axis=1)[:, :nearest] for i in range(0, n, 256)])
+            near[near < loose * x.shape[1]] = 0
+            centre = int(near.sum(1, dtype=np.int64).argmax())
+            some = np.concatenate([np.argpartition(x.shape[1] - near[i : i + 256], min(nearest, n - 1), axis=1)[:, :nearest] for i in range(0, n, 256)])
             i = np.repeat(np.arange(n), some.shape[1])
             pairs = np.concatenate((np.stack((i, some.ravel()), 1), np.stack((np.arange(n), np.full(n, centre)), 1), np.stack((np.arange(n - 1), np.arange(1, n)), 1)))
             pairs = np.unique(np.sort(pairs[near[pairs[:, 0], pairs[:, 1]] > 0], 1), axis=0) + lo

@@ -36,10 +36,31 @@ class Words:
     count: np.ndarray  # each document's words
 
 
+#: Bytes hashed at once, so that scratch stays small whatever the texts' lengths (a longer word is hashed whole).
+BLOCK = 1 << 18
+
+
 def word_hashes(texts: list[bytes | None]) -> Words:
     """Hashes of the words (as in decontamination) of some texts."""
     joined = b" ".join([*((t or b"") for t in texts), b""]).translate(WORD_BYTES)
-    by = np.frombuffer(joined, np.uint8)
+    hashes, starts, at = [], [], 0
+    while at < len(joined):
+        end = min(at + BLOCK, len(joined))
+        if end < len(joined):  # at a space, before or else after
+            end = joined.rfind(b" ", at, end) + 1 or joined.find(b" ", end) + 1 or len(joined)
+        h, start = _block_hashes(np.frombuffer(joined, np.uint8, end - at, at))
+        hashes.append(h)
+        starts.append(start + at)
+        at = end
+    h, start = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((hashes, np.uint64), (starts, np.int64)))
+    ends = np.cumsum([len(t or b"") + 1 for t in texts])
+    last = np.searchsorted(start, ends)
+    head = np.concatenate(([0], last[:-1])).astype(np.int64)
+    return Words(h, head, (last - head).astype(np.int64))
+
+
+def _block_hashes(by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first bytes of the words of some translated text."""
     inside = by != 32
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if len(by) and inside[0]:
@@ -48,11 +69,7 @@ def word_hashes(texts: list[bytes | None]) -> Words:
     if len(start) > len(end):
         end = np.append(end, len(by))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((by.astype(np.uint64) + np.uint64(1)) * powers(PRIME, len(by)), dtype=np.uint64)))
-    h = mixed((sums[end] - sums[start]) * powers(INVERSE, len(by) + 1)[start] + (end - start).astype(np.uint64))
-    ends = np.cumsum([len(t or b"") + 1 for t in texts])
-    last = np.searchsorted(start, ends)
-    head = np.concatenate(([0], last[:-1])).astype(np.int64)
-    return Words(h, head, (last - head).astype(np.int64))
+    return mixed((sums[end] - sums[start]) * powers(INVERSE, len(by) + 1)[start] + (end - start).astype(np.uint64)), start
 
 
 def text_keys(w: Words) -> np.ndarray:

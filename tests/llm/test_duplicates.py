@@ -53,6 +53,16 @@ def test_shingles_match_sets_of_words():
     assert alone[0].tolist() == h[heads[6] : heads[7]].tolist()
 
 
+def test_hashes_do_not_depend_on_the_blocks(monkeypatch):
+    texts = [b"one two  three", None, b"", b"x" * 500, b"four five " * 60, "\u00e9t\u00e9 one".encode(), b" "]
+    whole = shingles.word_hashes(texts)
+    for size in (7, 64, 333):
+        monkeypatch.setattr(shingles, "BLOCK", size)
+        part = shingles.word_hashes(texts)
+        assert (part.hashes == whole.hashes).all() and (part.head == whole.head).all() and (part.count == whole.count).all()
+    assert whole.hashes[0] == whole.hashes[-1] and whole.count.tolist() == [3, 0, 0, 1, 120, 2, 0]
+
+
 def test_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(5)
     h = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
