@@ -12,7 +12,7 @@ from .functions.theta import Theta, band, eq, ge, gt, le, lt, ne, theta
 from .operators import statistics
 from .operators.api import exists, match_aggregate, not_exists
 from .sources import generators
-from .sources.scratch import shared_folder
+from .sources.scratch import forget_at_exit, shared_folder
 from .sources.tables import read, write
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,9 +104,9 @@ def _band_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sum_double(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums of doubles over other keys; rounded, as their last digits depend on the order of addition."""
+    """Sums of doubles over other keys; rounded to whole cents, as their last digits depend on the order of addition."""
     found = match_aggregate(read(spark, sf_dir, "supplier").select("s_suppkey"), read(spark, sf_dir, "lineitem"), ne("s_suppkey", "l_suppkey"), [agg.sum0("l_extendedprice", "total"), agg.min_("l_discount", "least")])
-    return found.select("s_suppkey", F.round("total").cast("bigint").alias("total"), "least")
+    return found.select("s_suppkey", F.round(F.col("total") * 100).cast("bigint").alias("total_cents"), "least")
 
 
 def _bucketed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +114,9 @@ def _bucketed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = []
     for name, key, cols in (("orders", "o_orderkey", ["o_orderkey"]), ("lineitem", "l_orderkey", ["l_orderkey", "l_extendedprice"])):
         table = f"pairfold_bucketed_{name}_{spark.sparkContext.applicationId.replace('-', '_')}"
-        write(read(spark, sf_dir, name).select(cols), f"{shared_folder(spark)}/{table}", key, 8, table)
+        path = f"{shared_folder(spark)}/{table}"
+        write(read(spark, sf_dir, name).select(cols), path, key, 8, table)
+        forget_at_exit(spark, path)
         sides.append(spark.table(table))
     return match_aggregate(*sides, eq("o_orderkey", "l_orderkey"), [agg.sum0(cents("l_extendedprice")), agg.count()], hint="merge")
 
@@ -204,7 +206,7 @@ SQL |= {
 }
 SQL |= {
     "theta_band_difference": SQL["theta_band"],
-    "ne_sum_double": "SELECT s_suppkey, CAST(ROUND(COALESCE(SUM(l_extendedprice), 0)) AS BIGINT) AS total, MIN(l_discount) AS least FROM supplier LEFT JOIN lineitem ON s_suppkey <> l_suppkey GROUP BY s_suppkey",
+    "ne_sum_double": "SELECT s_suppkey, CAST(ROUND(COALESCE(SUM(l_extendedprice), 0) * 100) AS BIGINT) AS total_cents, MIN(l_discount) AS least FROM supplier LEFT JOIN lineitem ON s_suppkey <> l_suppkey GROUP BY s_suppkey",
     "eq_bucketed_merge": SQL["eq_sort_merge"],
     "exists_gt": "SELECT s_suppkey, s_acctbal FROM supplier WHERE EXISTS (SELECT 1 FROM customer WHERE s_acctbal > c_acctbal)",
     "gen_pool": "SELECT COUNT(*) AS n, MIN(i) AS first, MAX(i) AS last, COUNT(DISTINCT i) AS positions, TRUE AS from_zero, TRUE AS varied FROM range(1000) t(i)",

@@ -36,6 +36,10 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    _written.append((spark, path))
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete the files of ``stored`` tables that nothing reads any more."""
     for t in tables:
