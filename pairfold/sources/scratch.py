@@ -27,11 +27,14 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder; it forgets how ``df`` was partitioned, and lost executors cost no lineage."""
+def stored(df: DataFrame, **options: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder; it forgets how ``df`` was partitioned, and lost executors cost no lineage.
+
+    ``options`` are the Parquet writer's, such as ``compression``.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
