@@ -53,82 +53,89 @@ class Model:
             "in": draw(d, shape.classes, 0.3).reshape(d, shape.groups, shape.members).transpose(1, 0, 2).copy(), "bi": np.log(by / by.sum(1, keepdims=True)).astype(np.float32),
         })
 
-    def hidden(self, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Hidden states (batch, time, width) that predict the class after each input class; masked, batched attention."""
-        p, d = self.p, self.shape.width
+    def scorer(self) -> Scorer:
+        return Scorer(self)
+
+    def gradients(self, x: np.ndarray, y: np.ndarray, use: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean log loss over the used positions (``weight``: one for each window), and its gradients.
+
+        As in ``Scorer``, classes and places are multiplied by the weights once each, not once a token.
+        """
+        p, d, shape = self.p, self.shape.width, self.shape
         n, t = x.shape
-        e = p["e"][x] + p["pos"][:t]
-        qkv = (e.reshape(-1, d) @ p["qkv"]).reshape(n, t, 3 * d)
-        q, k, v = qkv[:, :, :d] * np.float32(d**-0.5), qkv[:, :, d : 2 * d], qkv[:, :, 2 * d :]
+        o = int(use.any(0).argmax())  # nothing is asked before
+        scale, plain = np.float32(d**-0.5), np.eye(d, dtype=np.float32)
+        w_own = np.hstack((p["qkv"][:, :d] * scale, plain))
+        w_seen = np.hstack((p["qkv"][:, d : 2 * d], p["qkv"][:, 2 * d :] @ p["o"]))  # the attention's output weights are folded into the values
+        place = p["pos"][:t]
+        seen, own = (p["e"] @ w_seen).take(x, 0), (p["e"] @ w_own).take(x[:, o:], 0)
+        seen += place @ w_seen
+        own += place[o:] @ w_own
+        q, k, v = own[:, :, :d], seen[:, :, :d], seen[:, :, d:]
         a = q @ k.transpose(0, 2, 1)
         np.minimum(a, np.float32(60), out=a)
         np.exp(a, out=a)
-        a *= np.tri(t, dtype=np.float32)
+        a *= np.tri(t, dtype=np.float32)[o:]
+        a /= a @ np.ones((t, 1), np.float32)
         c = a @ v
-        whole = a @ np.ones((t, 1), np.float32)
-        c /= whole
-        h = e + (c.reshape(-1, d) @ p["o"]).reshape(n, t, d)
-        z = h.reshape(-1, d) @ p["w1"] + p["b1"]
-        f = np.maximum(z, 0)
-        out = h + (f @ p["w2"]).reshape(n, t, d)
-        if keep is not None:
-            keep |= {"x": x, "e": e, "q": q, "k": k, "v": v, "a": a / whole, "c": c, "h": h, "f": f, "out": out}
-        return out
-
-    def scorer(self) -> Scorer:
-        return Scorer(self)
-
-    def gradients(self, x: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean log loss over the used positions, and its gradients."""
-        p, d, keep = self.p, self.shape.width, {}
-        n, t = x.shape
-        used = np.flatnonzero(use)
-        out, flat = self.hidden(x, keep).reshape(-1, d)[used], y.ravel()[used]
-        rows, total = np.arange(len(flat)), np.float32(max(len(flat), 1))
-        group, member = np.divmod(flat, self.shape.members)
-        z = softmax(out @ p["out"] + p["b"])
-        loss = -np.log(np.maximum(z[rows, group], 1e-30)).sum()
-        z[rows, group] -= 1
-        z /= total
+        used = np.flatnonzero(use[:, o:])
+        every = len(used) == n * (t - o)
+        h, flat = (own[:, :, d:] + c).reshape(-1, d), y[:, o:].ravel()
+        share = np.ones(len(h), np.float32) if weight is None else np.repeat(weight.astype(np.float32), t - o)
+        if not every:
+            h, flat, share = h[used], flat[used], share[used]
+        total = float(share.sum(dtype=np.float64)) or 1.0
+        order = np.argsort(flat // shape.members, kind="stable")  # tokens of a group stand together from here on
+        h, flat, share = h.take(order, 0), flat[order], (share[order] / total).astype(np.float32)
+        f = np.maximum(h @ p["w1"] + p["b1"], 0)
+        out = h + f @ p["w2"]
+        rows, (group, member) = np.arange(len(flat)), np.divmod(flat, shape.members)
+        z, nats = shares(out @ p["out"] + p["b"], rows, group)
+        z *= share[:, None]
         g = {"out": out.T @ z, "b": z.sum(0), "in": np.zeros_like(p["in"]), "bi": np.zeros_like(p["bi"])}
-        dused = z @ p["out"].T
-        for k, at in by_group(group, self.shape.groups):
-            h = out[at]
-            z = softmax(h @ p["in"][k] + p["bi"][k])
-            own = np.arange(len(at))
-            loss -= np.log(np.maximum(z[own, member[at]], 1e-30)).sum()
-            z[own, member[at]] -= 1
-            z /= total
-            g["in"][k], g["bi"][k] = h.T @ z, z.sum(0)
-            dused[at] += z @ p["in"][k].T
-        loss = float(loss / total)
-        dout = np.zeros((n * t, d), np.float32)
-        dout[used] = dused
+        dout = z @ p["out"].T
+        cut = np.searchsorted(group, np.arange(shape.groups + 1))
+        each = [(i, slice(cut[i], cut[i + 1])) for i in range(shape.groups) if cut[i] < cut[i + 1]]
+        z = np.empty((len(flat), shape.members), np.float32)
+        for i, at in each:
+            np.matmul(out[at], p["in"][i], out=z[at])
+        z += p["bi"].take(group, 0)
+        z, more = shares(z, rows, member)
+        loss = -float(((nats + more) * share).sum(dtype=np.float64))
+        z *= share[:, None]
+        for i, at in each:
+            g["in"][i], g["bi"][i] = out[at].T @ z[at], z[at].sum(0)
+            dout[at] += z[at] @ p["in"][i].T
         df = dout @ p["w2"].T
-        df *= keep["f"] > 0
-        h = keep["h"].reshape(-1, d)
-        g |= {"w2": keep["f"].T @ dout, "w1": h.T @ df, "b1": df.sum(0)}
-        dh = dout + df @ p["w1"].T
-        dc = (dh @ p["o"].T).reshape(n, t, d)
-        g["o"] = keep["c"].reshape(-1, d).T @ dh
-        a = keep["a"]
-        dv = a.transpose(0, 2, 1) @ dc
-        da = dc @ keep["v"].transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(2, keepdims=True))
-        dq, dk = (ds @ keep["k"]) * np.float32(d**-0.5), ds.transpose(0, 2, 1) @ keep["q"]
-        dqkv = np.concatenate((dq, dk, dv), 2).reshape(-1, 3 * d)
-        e = keep["e"].reshape(-1, d)
-        g["qkv"] = e.T @ dqkv
-        de = dh + dqkv @ p["qkv"].T
+        df *= f > 0
+        g |= {"w2": f.T @ dout, "w1": h.T @ df, "b1": df.sum(0)}
+        dout += df @ p["w1"].T
+        back = np.zeros((n * (t - o), d), np.float32)
+        back[order if every else used[order]] = dout
+        dc = back.reshape(n, t - o, d)
+        ds = dc @ v.transpose(0, 2, 1)
+        ds -= (dc * c).sum(2, keepdims=True)
+        ds *= a
+        down, dseen = np.empty((n, t - o, 2 * d), np.float32), np.empty((n, t, 2 * d), np.float32)
+        np.matmul(ds, k, out=down[:, :, :d])
+        down[:, :, d:] = dc
+        np.matmul(ds.transpose(0, 2, 1), q, out=dseen[:, :, :d])
+        np.matmul(a.transpose(0, 2, 1), dc, out=dseen[:, :, d:])
+        e = p["e"].take(x, 0)
+        e += place
+        dkv = e.reshape(-1, d).T @ dseen.reshape(-1, 2 * d)
+        dq = e[:, o:].reshape(-1, d).T @ down[:, :, :d].reshape(-1, d) * scale
+        g["qkv"], g["o"] = np.hstack((dq, dkv[:, :d], dkv[:, d:] @ p["o"].T)), p["qkv"][:, 2 * d :].T @ dkv[:, d:]
+        de = (dseen.reshape(-1, 2 * d) @ w_seen.T).reshape(n, t, d)
+        de[:, o:] += (down.reshape(-1, 2 * d) @ w_own.T).reshape(n, t - o, d)
         g["pos"] = np.zeros_like(p["pos"])
-        g["pos"][:t] = de.reshape(n, t, d).sum(0)
-        at = x.ravel()
-        g["e"] = np.stack([np.bincount(at, de[:, j], len(p["e"])) for j in range(d)], 1).astype(np.float32)
+        g["pos"][:t] = de.sum(0)
+        g["e"] = np.stack([np.bincount(x.ravel(), col, len(p["e"])) for col in de.reshape(-1, d).T.astype(np.float64)], 1).astype(np.float32)
         return loss, g
 
 
 class Scorer:
-    """The forward pass alone, with weights and scratch laid out for speed; equal to ``Model.hidden`` and a softmax."""
+    """The forward pass alone, with weights and scratch laid out for speed; its mean is the loss of ``Model.gradients``."""
 
     def __init__(self, model: Model):
         p, self.shape = model.p, model.shape
@@ -189,17 +196,16 @@ def log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     return own - np.log(z @ np.ones(z.shape[1], np.float32))
 
 
-def softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(1, keepdims=True))
-    return z / z.sum(1, keepdims=True)
-
-
-def by_group(group: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(group, kind="stable")
-    cut = np.searchsorted(group[order], np.arange(groups + 1))
-    for k in range(groups):
-        if cut[k] < cut[k + 1]:
-            yield k, order[cut[k] : cut[k + 1]]
+def shares(z: np.ndarray, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax of each row, less one at one place, and its logarithm there; overwrites ``z``."""
+    if z.size and (z.max() > 80 or z.min() < -80):  # as in ``log_share``
+        z -= z.max(1, keepdims=True)
+    own = z[rows, at]
+    np.exp(z, out=z)
+    whole = z @ np.ones((z.shape[1], 1), np.float32)
+    z /= whole
+    z[rows, at] -= 1
+    return z, own - np.log(whole[:, 0])
 
 
 def windows(count: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
@@ -232,6 +238,29 @@ def inputs(cls: np.ndarray, count: np.ndarray, shape: Shape) -> np.ndarray:
     return laid[start[:, None] + np.arange(shape.window)]
 
 
+def segments(classes: bytes, shape: Shape, kind: np.dtype, most: int) -> Iterator[bytes]:
+    """A text's classes in parts of at most ``most`` (a multiple of a window's new tokens), each after the ``overlap`` + 1 classes or marks before it."""
+    lead = (shape.overlap + 1) * kind.itemsize
+    laid = np.full(shape.overlap + 1, shape.classes, kind).tobytes() + classes
+    for lo in range(0, len(classes), most * kind.itemsize):
+        yield laid[lo : lo + lead + most * kind.itemsize]
+
+
+def segment_windows(laid: np.ndarray, lens: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of segments laid end to end: inputs, targets and the positions to score of all windows, and each window's segment.
+
+    The segments of a text have the windows that ``cut_windows`` cuts of the whole text.
+    """
+    stride, lead = shape.window - shape.overlap, shape.overlap + 1
+    n = -(-(lens - lead) // stride)
+    own = np.repeat(np.arange(len(lens)), n)
+    first = (np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)) * stride
+    at = first[:, None] + np.arange(shape.window + 1)
+    live = at < lens[own][:, None]
+    whole = laid[np.where(live, at, 0) + (np.cumsum(lens) - lens)[own][:, None]]
+    return whole[:, :-1], whole[:, 1:], live[:, 1:] & (np.arange(shape.window) >= shape.overlap), own
+
+
 def score_texts(model: Model | Scorer, cls: np.ndarray, count: np.ndarray, batch: int = 256) -> np.ndarray:
     """log10 P(class | context) of each token; each is scored in exactly one window."""
     return nat_scores(model if isinstance(model, Scorer) else model.scorer(), cls, count, batch) / LN10
@@ -268,15 +297,19 @@ class Contexts:
 
     @classmethod
     def frequent(cls, classes: int, flat: np.ndarray, count: np.ndarray, most: int) -> Contexts:
-        """The ``most`` most frequent pairs of a sample."""
-        one, two = befores(flat, count, classes)
-        n = np.bincount(two * (classes + 1) + one, minlength=(classes + 1) ** 2)
+        """The ``most`` most frequent pairs of some texts; of equally frequent ones the smaller."""
+        n = np.bincount(pair_codes(flat, count, classes), minlength=(classes + 1) ** 2)
         order = np.argsort(-n, kind="stable")[:most]
         return cls(classes, order[n[order] > 1])
 
     def codes(self, flat: np.ndarray, count: np.ndarray) -> np.ndarray:
-        one, two = befores(flat, count, self.classes)
-        return self.code[two * (self.classes + 1) + one]
+        return self.code[pair_codes(flat, count, self.classes)]
+
+    def cells(self, laid: np.ndarray, lens: np.ndarray, lead: int) -> np.ndarray:
+        """Code * classes + class, for each token of segments but the ``lead`` before them."""
+        pair = laid[:-2].astype(np.int32) * np.int32(self.classes + 1) + laid[1:-1]
+        inner = np.arange(len(laid)) - np.repeat(np.cumsum(lens) - lens, lens) >= lead
+        return self.code[pair[inner[2:]]] * np.int32(self.classes) + laid[inner]
 
     def shares(self, n: np.ndarray, after_class: float = 50.0, after_pair: float = 20.0) -> np.ndarray:
         """P(class | code) from counts (code, class): pairs lean on the last class, and that on all classes."""
@@ -290,6 +323,11 @@ class Contexts:
         return np.concatenate((row, pair)).astype(np.float32)
 
 
+def pair_codes(flat: np.ndarray, count: np.ndarray, classes: int) -> np.ndarray:
+    one, two = befores(flat, count, classes)
+    return two * np.int32(classes + 1) + one
+
+
 def befores(flat: np.ndarray, count: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """The last and the second last class before each token of texts laid end to end."""
     heads = (np.cumsum(count) - count)[count > 0]
@@ -302,8 +340,8 @@ def befores(flat: np.ndarray, count: np.ndarray, classes: int) -> tuple[np.ndarr
     return one, two
 
 
-def train(model: Model, x: np.ndarray, y: np.ndarray, use: np.ndarray, rate: float, batch: int = 32, rounds: int = 1, seed: int = 1) -> float:
-    """Adam over the given windows; returns the last mean loss."""
+def train(model: Model, x: np.ndarray, y: np.ndarray, use: np.ndarray, rate: float, batch: int = 32, rounds: int = 1, seed: int = 1, weight: np.ndarray | None = None) -> float:
+    """Adam over the given windows (``weight``: one for each); returns the last mean loss."""
     rng = np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in model.p.items()}
     v = {k: np.zeros_like(w) for k, w in model.p.items()}
@@ -312,7 +350,7 @@ def train(model: Model, x: np.ndarray, y: np.ndarray, use: np.ndarray, rate: flo
         order = rng.permutation(len(x))
         for lo in range(0, len(x), batch):
             s = order[lo : lo + batch]
-            one, grads = model.gradients(x[s], y[s], use[s])
+            one, grads = model.gradients(x[s], y[s], use[s], None if weight is None else weight[s])
             loss = 0.95 * loss + 0.05 * one if step else one
             step += 1
             lr = rate * (1 - 0.9 * step / total)

@@ -1,12 +1,12 @@
 """Language-model scores of documents: a unigram base, and a causal self-attention model on subword ids.
 
-What is gathered from the corpus covers all its training documents: the counts of all words, the counts of all subword ids
-(from the word counts), for each pair of classes the counts of the classes that follow it, and passages of every document,
-on which the attention model is trained. The model starts from a bounded sample (``sample`` training documents by hash). Then
-passages, ``passage`` subwords in each ``stretch`` words of a document and one of each document at least, are dealt to shards by
-their content, ``shard`` in each, so that the number of shards grows with the corpus; each shard trains from the start, in an
-order that its passages fix, and the mean of the shards' parameters is the model. Equal passages are trained on once. As
-shards, orders and counts depend on the documents alone, so do scores, however the documents are partitioned.
+All of it is learned from every token of all training documents: the counts of words and of subword ids (from the word
+counts), the most frequent pairs of classes, for each of these the counts of the classes that follow, and the attention model.
+That model begins with a bounded number of texts (``sample`` by hash), which only fixes where the pass over the corpus starts.
+Then all texts are cut into segments, dealt to shards by their content, about ``shard`` windows in each, so that the number of
+shards grows with the corpus; each shard trains on all of its tokens from the same start, in an order that its segments fix,
+and the mean of the shards' parameters is the model. Equal segments are one, with their number as weight. As shards, orders and
+counts depend on the documents alone, so do scores, however the documents are partitioned.
 
 Words: ASCII letters in lower case, divided by white space; a text is its words and an end. Each word is encoded with a
 space before it by a public byte-level vocabulary, so a text's score is a proper probability of its sequence of words.
@@ -158,49 +158,27 @@ def public_vocabulary(path: str | None = None) -> tuple[dict[bytes, int], str]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, public_tokenizers.PATTERN
 
 
-WORD, END, PASSAGE = 0, 1, 2
+WORD, END = 0, 1
 
 
-def passages_of(words: list[bytes], coder: Encoder, passage: int, stretch: int) -> Iterator[bytes]:
-    """One passage in each ``stretch`` words: a mark (1 at a text's beginning) and up to ``passage`` ids, from a place that the words themselves fix."""
-    for lo in range(0, max(len(words), 1), stretch):
-        part = words[lo : lo + stretch]
-        first = lo + (zlib.crc32(b" ".join(part[:16])) % len(part) if part else 0)
-        first = max(0, min(first, len(words) - passage // 2))
-        ids = array("i", [first == 0])
-        ids += coder.ids_of(words[first : first + passage])
-        if first + passage >= len(words):
-            ids.append(coder.end)
-        yield ids[: passage + 1].tobytes()
-
-
-def gather(train: DataFrame, vocabulary, name: str, passage: int, stretch: int, flush: int = 600_000) -> DataFrame:
-    """(kind, word, c) over the texts of ``train`` (columns id and text): words, the end, and passages, with how often each occurs."""
+def gather(train: DataFrame, flush: int = 600_000) -> DataFrame:
+    """(kind, word, c) over the texts of ``train`` (columns id and text): words and the end, with how often each occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pairfold.llm.lm import Encoder, kept
-
-        coder = kept(name, lambda: Encoder(*vocabulary.value))
         sums: Counter[bytes] = Counter()
-        parts: Counter[bytes] = Counter()
         docs = 0
 
         def out() -> pa.RecordBatch:
-            kinds = np.repeat(np.array([WORD, PASSAGE, END], np.int8), [len(sums), len(parts), 1])
-            return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array([*sums, *parts, b""], pa.binary()), pa.array([*sums.values(), *parts.values(), docs], pa.int64())], names=["kind", "word", "n"])
+            kinds = np.repeat(np.array([WORD, END], np.int8), [len(sums), 1])
+            return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array([*sums, b""], pa.binary()), pa.array([*sums.values(), docs], pa.int64())], names=["kind", "word", "n"])
 
         for b in text_slices(batches, 1, 1 << 20):
-            if len(coder.words) >= coder.cache:
-                coder.empty()
             for t in b.column(1).to_pylist():
-                words = words_of(t)
-                sums.update(words)
-                parts.update(passages_of(words, coder, passage, stretch))
+                sums.update(words_of(t))
             docs += b.num_rows
             if len(sums) >= flush:
                 yield out()
                 sums.clear()
-                parts.clear()
                 docs = 0
         if docs:
             yield out()
@@ -251,123 +229,154 @@ def id_classes(counts: np.ndarray, opens: np.ndarray, shape: attention.Shape, sh
     return rank[cls]
 
 
-def fit(rows: DataFrame, train: Column, vocabulary_path: str | None = None, shape: attention.Shape | None = None, sample: int = 1200, longest: int = 1 << 16, rounds: int = 3, hot: int = 1 << 20, passage: int = 48, stretch: int = 2048, shard: int = 8192, pairs: int = 7000) -> dict:
+def fit(rows: DataFrame, train: Column, vocabulary_path: str | None = None, shape: attention.Shape | None = None, sample: int = 1200, longest: int = 1 << 16, rounds: int = 3, hot: int = 1 << 20, shard: int = 24576, pairs: int = 7000) -> dict:
     """Learn from the rows (columns id and text) where ``train`` holds.
 
-    The start is fitted on at most ``sample`` texts of at most ``longest`` bytes; ``pairs`` bounds the table of class pairs.
+    ``shard`` is about the number of windows that are trained on between the start and a mean; ``pairs`` bounds the table of
+    class pairs. The attention model meets ``sample`` of the texts, of at most ``longest`` bytes of classes, ``rounds`` times before all texts.
     """
     spark, shape, name = rows.sparkSession, shape or attention.Shape(), uuid.uuid4().hex
     vocabulary = spark.sparkContext.broadcast(public_vocabulary(vocabulary_path))  # a tokenizer's vocabulary, not corpus data
-    known = rows.where(train).select("id", "text")
-    gathered = stored(gather(known, vocabulary, name, passage, stretch), compression="zstd")
-    words = gathered.where(F.col("kind") != PASSAGE)
+    words = stored(gather(rows.where(train).select("id", "text")), compression="zstd")
     total, different = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     often = {bytes(r["word"]): math.log10(r["c"] + 1) for r in words.where((F.col("kind") == WORD) & (F.col("c") * hot >= total)).toLocalIterator()}  # at most ``hot``
     docs = (words.where(F.col("kind") == END).first() or {"c": 0})["c"]
     counts = count_ids(words, vocabulary, name)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pairfold.llm.lm import Encoder, kept
-
-        coder = kept(name, lambda: Encoder(*vocabulary.value))
-        for b in text_slices(batches, 1, 1 << 20):
-            _, _, ids, n, _ = coder.slice(b.column(1))
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])], pa.binary())], names=["ids"])
-
-    chosen = hashed_sample(known, ["id", "text"], sample, F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)  # a bounded sample
-    texts = sorted((np.frombuffer(r["ids"], np.int32) for r in chosen.mapInArrow(encode, "ids binary").collect()), key=lambda t: t.tobytes())
     ranks = vocabulary.value[0]
     opens = np.zeros(len(counts), bool)
     opens[[i for piece, i in ranks.items() if piece.startswith(b" ")]] = True
     opens[-1] = True  # the end stands where a word could begin
-    cls = id_classes(counts, opens, shape).astype(np.int16 if shape.classes < 1 << 15 else np.int32)
+    cls = id_classes(counts, opens, shape).astype(class_type(shape))
     in_class = np.bincount(cls, counts + 0.5, shape.classes)
     log_own = np.log10((counts + 0.5) / in_class[cls])
+    fitted = {"name": name, "vocabulary": vocabulary, "words": words.where(F.col("kind") == WORD).select("word", "c"), "hot": hot, "total": int(total), "different": int(different), "docs": int(docs)}
+    fitted["shared"] = spark.sparkContext.broadcast((often, cls, log_own, shape.classes))  # at most ``hot`` words, and fixed sizes
+    found = stored(_encode(rows, fitted, train), compression="zstd")
+    known = found.where("uid is not null and learn").select("id", "classes")
+    contexts = attention.Contexts(shape.classes, _frequent_pairs(found.where("uid is null"), pairs))
     model = attention.Model.fresh(shape, np.maximum(in_class, 0.5))
-    flat, lens = (cls[np.concatenate(texts)], np.array([len(t) for t in texts])) if texts else (cls[:0], np.zeros(0, int))
-    contexts = attention.Contexts.frequent(shape.classes, flat, lens, pairs)
+    first = hashed_sample(known, ["id", "classes"], sample, F.octet_length("classes") <= longest)  # a bounded number, trained on once more than the others are
+    texts = sorted((np.frombuffer(r["classes"], cls.dtype) for r in first.collect()), key=lambda t: t.tobytes())
     if texts:
-        x, y, use, _ = attention.cut_windows(flat, lens, shape)
+        x, y, use, _ = attention.cut_windows(np.concatenate(texts), np.array([len(t) for t in texts]), shape)
         attention.train(model, x, y, use, 0.02, batch=64, rounds=rounds)
-    fitted = {"name": name, "vocabulary": vocabulary, "words": words.where(F.col("kind") == WORD).select("word", "c"), "hot": hot, "total": int(total), "different": int(different), "docs": int(docs)}
-    fitted["shared"] = spark.sparkContext.broadcast((often, cls, log_own, contexts))  # at most ``hot`` words, and fixed sizes
-    found = stored(_encode(rows, fitted, train), compression="zstd")
-    model = _train_everywhere(gathered.where(F.col("kind") == PASSAGE).select("word"), cls, model, shard)
-    table = contexts.shares(_context_counts(found.where("uid is null"), contexts))
+    stride = shape.window - shape.overlap
+    model, table = _train_everywhere(known, model, contexts, shard, max(1, math.ceil(counts.sum() / (shard * stride))))
     return fitted | {"model": model, "contexts": contexts, "table": table, "rows": rows, "encoded": found.where("uid is not null")}
 
 
-def _train_everywhere(passages: DataFrame, cls: np.ndarray, start: attention.Model, size: int) -> attention.Model:
-    """Each shard of about ``size`` passages trains from ``start``; the mean of their parameters by windows.
+def class_type(shape: attention.Shape) -> np.dtype:
+    return np.dtype(np.int16 if shape.classes < 1 << 15 else np.int32)
+
+
+def _frequent_pairs(found: DataFrame, most: int) -> np.ndarray:
+    """The ``most`` most frequent pairs of classes in all training texts, of those that occur twice; ``found`` has their counts by task."""
+    each = found.select(F.explode(F.arrays_zip("cell", "n")).alias("x"))
+    got = each.groupBy(F.col("x.cell").alias("i")).agg(F.sum("x.n").alias("n")).where("n > 1").orderBy(F.desc("n"), "i").limit(most).toArrow()
+    return got.column("i").to_numpy().astype(np.int64)
 
-    Shards are dealt and sorted by the passages' hashes and read one after another; a task hands on one sum of parameters.
+
+def _train_everywhere(known: DataFrame, start: attention.Model, contexts: attention.Contexts, size: int, shards: int, part: int = 2048, held_bytes: int = 32 << 20) -> tuple[attention.Model, np.ndarray]:
+    """The model trained on every token of the classes of all training texts, and the table of their contexts.
+
+    Texts are cut into segments of ``part`` tokens, which are dealt to shards by their hashes. Equal segments are trained on
+    and counted together, with their number as weight, so that however many copies there are, no shard is long. Each shard
+    trains from ``start``, and the mean of their parameters, by tokens' weights, is the model. A task hands on one sum of
+    parameters (numbers below ``size_of``), the weight of these (-1) and the cells it met.
     """
-    shards = -(-passages.count() // size)
-    if not shards:
-        return start
     keys, shape = sorted(start.p), start.shape
-    shared = passages.sparkSession.sparkContext.broadcast((cls, start))  # fixed sizes
+    kind, lead = class_type(shape), shape.overlap + 1
+    size_of = sum(start.p[k].size for k in keys)
+    shared = known.sparkSession.sparkContext.broadcast((start, contexts))  # fixed sizes
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: Counter[bytes] = Counter()
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([*met], pa.binary()), pa.array([*met.values()], pa.int64())], names=["segment", "n"])
+
+        for b in text_slices(batches, 0):
+            for text in b.column(0).to_pylist():
+                for x in attention.segments(text, shape, kind, part):
+                    held += 0 if x in met else len(x)
+                    met[x] += 1
+            if held >= held_bytes:
+                yield out()
+                met.clear()
+                held = 0
+        if met:
+            yield out()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls, first = shared.value
-        sums = np.zeros(sum(first.p[k].size for k in keys))
-        seen = 0
+        first, contexts = shared.value
+        sums, seen = np.zeros(size_of), 0
+        cells = np.zeros(contexts.rows * contexts.classes, np.int64)
 
-        def one(held: list[bytes]) -> int:
+        def one(held: list[bytes], times: list[int]) -> int:
             model = attention.Model(shape, {k: v.copy() for k, v in first.p.items()})
-            texts = [np.frombuffer(x, np.int32) for x in held]
-            lens = np.array([len(t) - 1 for t in texts])
-            x, y, use, _ = attention.cut_windows(cls[np.concatenate([t[1:] for t in texts])], lens, shape)
-            text, place = attention.windows(lens, shape)
-            whole = (place >= 0) | (np.array([t[0] for t in texts])[text] == 1)  # what stands before the passage is unknown
-            if not whole.any():
-                return 0
-            attention.train(model, x[whole], y[whole], use[whole], 0.004, batch=64)
-            sums[:] += np.concatenate([model.p[k].ravel() for k in keys]).astype(np.float64) * int(whole.sum())
-            return int(whole.sum())
-
-        now, held = None, []
+            laid, lens, n = np.frombuffer(b"".join(held), kind), np.array([len(x) for x in held]) // kind.itemsize, np.array(times)
+            np.add.at(cells, contexts.cells(laid, lens, lead), np.repeat(n, lens - lead))
+            x, y, use, own = attention.segment_windows(laid, lens, shape)
+            attention.train(model, x, y, use, 0.008, batch=256, weight=n[own])
+            weight = int((n * (lens - lead)).sum())
+            sums[:] += np.concatenate([model.p[k].ravel() for k in keys]).astype(np.float64) * weight
+            return weight
+
+        now, held, times, tokens = None, [], [], 0
         for b in batches:
-            for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if held and (s != now or len(held) >= 4 * size):
-                    seen += one(held)
-                    held = []
+            for s, x, n in zip(*(c.to_pylist() for c in b.columns)):
+                if held and s == now and x == held[-1]:
+                    times[-1] += n
+                    continue
+                if held and (s != now or tokens >= 4 * size * (shape.window - shape.overlap)):
+                    seen += one(held, times)
+                    held, times, tokens = [], [], 0
                 now = s
                 held.append(x)
-        seen += one(held) if held else 0
+                times.append(n)
+                tokens += len(x) // kind.itemsize - lead
+        seen += one(held, times) if held else 0
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums), pa.array(np.full(len(sums), seen, np.int64))], names=["i", "v", "n"])
-
-    dealt = passages.select(F.pmod(F.xxhash64("word"), F.lit(shards)).alias("shard"), "word").repartition("shard").sortWithinPartitions("shard", "word")
-    got = dealt.mapInArrow(run, "i int, v double, n long").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()  # a row for each parameter
-    if not len(got):
-        return start
-    flat, at, p = np.zeros(len(got)), 0, {}
-    flat[got["i"].to_numpy(int)] = got["v"].to_numpy(float)
+            at = np.flatnonzero(cells)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-1], np.arange(size_of), at + size_of)).astype(np.int32)), pa.array(np.concatenate(([seen], sums, cells[at])))], names=["i", "v"])
+
+    met = known.select("classes").mapInArrow(cut, "segment binary, n long")
+    dealt = met.select(F.pmod(F.xxhash64("segment"), F.lit(shards)).alias("shard"), "segment", "n").repartition("shard").sortWithinPartitions("shard", "segment")
+    got = dealt.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # a row for each parameter and cell
+    i, v = got.column("i").to_numpy(), got.column("v").to_numpy()
+    n = np.zeros(contexts.rows * contexts.classes, np.int64)
+    n[i[i >= size_of] - size_of] = v[i >= size_of].astype(np.int64)
+    table = contexts.shares(n.reshape(contexts.rows, contexts.classes))
+    if not len(i):
+        return start, table
+    flat, at, p = np.zeros(size_of), 0, {}
+    inner = (i >= 0) & (i < size_of)
+    flat[i[inner]] = v[inner] / v[i == -1]
     for k in keys:
         p[k] = flat[at : at + start.p[k].size].reshape(start.p[k].shape).astype(np.float32)
         at += start.p[k].size
-    return attention.Model(shape, p)
+    return attention.Model(shape, p), table
 
 
 def _encode(rows: DataFrame, fitted: dict, train: Column | None = None) -> DataFrame:
     """For each of ``rows`` (id, text) its classes, what its frequent words add to the base, its other words and how often each occurs.
 
-    Where ``train`` holds, the classes that follow each context are counted as well: each task adds rows without a uid that
-    hold the cells it met and their counts.
+    Where ``train`` holds, the pairs of classes before each token are counted as well: each task adds rows without a uid that
+    hold the pairs it met and their counts.
     """
     vocabulary, shared, name, docs = fitted["vocabulary"], fitted["shared"], fitted["name"], fitted["docs"]
     counting = train is not None
     learn = F.coalesce(train, F.lit(False)) if counting else F.lit(False)
     asked = rows.select(F.monotonically_increasing_id().alias("uid"), "text", "id", learn.alias("learn"))
-    made = {"uid": "long", "id": asked.schema["id"].dataType.simpleString(), "n_tokens": "long", "n_hot": "long", "base_hot": "double", "own": "double", "words": "array<binary>", "times": "array<int>", "classes": "binary", "cell": "array<int>", "n": "array<int>"}
+    made = {"uid": "long", "id": asked.schema["id"].dataType.simpleString(), "n_tokens": "long", "n_hot": "long", "base_hot": "double", "own": "double", "words": "array<binary>", "times": "array<int>", "classes": "binary", "learn": "boolean", "cell": "array<int>", "n": "array<int>"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pairfold.llm.lm import Encoder, kept
 
-        often, cls, log_own, contexts = shared.value
+        often, cls, log_own, classes = shared.value
         coder, end_gain = kept(name + "gains", lambda: Encoder(*vocabulary.value, often)), math.log10(docs + 1)
-        sums = np.zeros(contexts.rows * contexts.classes, np.int32) if counting else None  # a task's texts hold far fewer tokens than an int can count
+        sums = np.zeros((classes + 1) ** 2, np.int32) if counting else None  # a task's texts hold far fewer tokens than an int can count
         types = None
         for b in text_slices(batches, 1, 1 << 20):
             number, count, ids, n_ids, gains = coder.slice(b.column(1))
@@ -383,12 +392,11 @@ def _encode(rows: DataFrame, fitted: dict, train: Column | None = None) -> DataF
             flat = cls[ids]
             if sums is not None:
                 use = np.repeat(b.column(3).to_numpy(zero_copy_only=False), n_ids)
-                at, met = np.unique((contexts.codes(flat, n_ids) * np.int32(contexts.classes) + flat)[use], return_counts=True)
-                sums[at] += met.astype(np.int32)
+                np.add.at(sums, attention.pair_codes(flat, n_ids, classes)[use], np.int32(1))
             ends = np.concatenate(([0], np.cumsum(n_ids)))
-            classes = pa.Array.from_buffers(pa.binary(), len(n_ids), [None, pa.py_buffer((ends * flat.itemsize).astype(np.int32)), pa.py_buffer(flat)])
+            laid = pa.Array.from_buffers(pa.binary(), len(n_ids), [None, pa.py_buffer((ends * flat.itemsize).astype(np.int32)), pa.py_buffer(flat)])
             none = pa.nulls(len(count), pa.list_(pa.int32()))
-            arrays = [b.column(0), b.column(2), pa.array(count, pa.int64()), pa.array(hot), pa.array(base), pa.array(np.add.reduceat(log_own[ids], ends[:-1])), pa.ListArray.from_arrays(cuts, words), pa.ListArray.from_arrays(cuts, pa.array(times, pa.int32())), classes, none, none]
+            arrays = [b.column(0), b.column(2), pa.array(count, pa.int64()), pa.array(hot), pa.array(base), pa.array(np.add.reduceat(log_own[ids], ends[:-1])), pa.ListArray.from_arrays(cuts, words), pa.ListArray.from_arrays(cuts, pa.array(times, pa.int32())), laid, b.column(3), none, none]
             types = [x.type for x in arrays]
             yield pa.RecordBatch.from_arrays(arrays, names=[*made])
         if types is not None and sums is not None:
@@ -402,15 +410,6 @@ def _encode(rows: DataFrame, fitted: dict, train: Column | None = None) -> DataF
     return asked.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in made.items()))
 
 
-def _context_counts(found: DataFrame, contexts: attention.Contexts) -> np.ndarray:
-    """How often each class follows each context code in all training texts; at most ``rows`` x ``classes`` numbers reach the driver."""
-    each = found.select(F.explode(F.arrays_zip("cell", "n")).alias("x"))
-    got = each.groupBy(F.col("x.cell").alias("i")).agg(F.sum("x.n").alias("n")).toArrow()
-    out = np.zeros(contexts.rows * contexts.classes, np.int64)
-    out[got.column("i").to_numpy()] = got.column("n").to_numpy()
-    return out.reshape(contexts.rows, contexts.classes)
-
-
 def score(rows: DataFrame, fitted: dict, keep: dict[str, Column] | None = None, table_share: float = 0.4) -> DataFrame:
     """doc_id, what ``keep`` computes, n_tokens, n_known, train_tokens, base_score and score, for each of ``rows`` (id, text).
 
@@ -425,7 +424,7 @@ def score(rows: DataFrame, fitted: dict, keep: dict[str, Column] | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, contexts, table = shared.value
-        scorer, kind = model.scorer(), np.dtype(np.int16 if model.shape.classes < 1 << 15 else np.int32)
+        scorer, kind = model.scorer(), class_type(model.shape)
         for b in text_slices(batches, 1, 1 << 20):
             texts = [np.frombuffer(x, kind) for x in b.column(1).to_pylist()]
             flat, n_ids = np.concatenate(texts), np.array([len(x) for x in texts])

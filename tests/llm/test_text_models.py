@@ -137,6 +137,46 @@ def test_every_training_document_reaches_the_attention_model(spark):
     assert max(np.abs(one[k] - two[k]).max() for k in one) > 1e-5
 
 
+def test_every_token_and_pair_of_the_training_texts_is_learned_from(spark):
+    words = [f"word{(j * j) % 47}" for j in range(3000)]
+
+    def fitted(words):
+        rows = spark.createDataFrame([(1, " ".join(words)), (2, "word1 word2"), (3, "word1 word2")], "id long, text string")
+        return lm.fit(rows.select("id", F.col("text").cast("binary").alias("text")).coalesce(1), F.lit(True), sample=0)
+
+    one = fitted(words)
+    texts = [np.frombuffer(r["classes"], np.int16) for r in one["encoded"].select("classes").collect()]
+    flat, count = np.concatenate(texts), np.array([len(t) for t in texts])
+    want = attention.Contexts.frequent(1024, flat, count, 7000)
+    assert len(want.pairs) and one["contexts"].pairs.tolist() == want.pairs.tolist()
+    n = np.zeros((want.rows, 1024), np.int64)
+    np.add.at(n, (want.codes(flat, count), flat), 1)
+    assert np.array_equal(one["table"], want.shares(n))
+    for k in (700, 2900):
+        turned = [*words[:k], words[k + 1], words[k], *words[k + 2 :]]  # all word counts stay
+        two = fitted(turned)["model"].p
+        assert turned != words and max(np.abs(one["model"].p[i] - two[i]).max() for i in two) > 1e-6
+
+
+def test_segments_have_the_windows_of_whole_texts_and_weights_are_copies():
+    shape, rng = attention.Shape(4, 4, 8, 12, 8, 4), np.random.default_rng(4)
+    cls, count = rng.integers(0, 16, 200).astype(np.int16), np.array([1, 2, 12, 13, 72, 100])
+    x, y, use, _ = attention.cut_windows(cls, count, shape)
+    parts = [p for t in np.split(cls, np.cumsum(count)[:-1]) for p in attention.segments(t.tobytes(), shape, cls.dtype, 12)]
+    laid, lens = np.frombuffer(b"".join(parts), np.int16), np.array([len(p) // 2 for p in parts])
+    gx, gy, guse, own = attention.segment_windows(laid, lens, shape)
+    assert np.array_equal(guse, use) and np.array_equal(gy[guse], y[use]) and len(own) == len(x)
+    for i in range(len(x)):
+        last = np.flatnonzero(use[i]).max()
+        assert gx[i, : last + 1].tolist() == x[i, : last + 1].tolist()
+    contexts = attention.Contexts.frequent(16, cls, count, 20)
+    assert contexts.cells(laid, lens, shape.overlap + 1).tolist() == (contexts.codes(cls, count) * 16 + cls).tolist()
+    model, weight = attention.Model.fresh(shape, rng.random(16) + 0.1), rng.integers(1, 4, len(x))
+    again = np.repeat(np.arange(len(x)), weight)
+    (loss, g), (same, want) = model.gradients(x, y, use, weight), model.gradients(x[again], y[again], use[again])
+    assert loss == pytest.approx(same, rel=1e-5) and all(g[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+
+
 def test_scores_do_not_depend_on_the_partitions(spark, folder):
     rows = spark.read.parquet(f"{folder}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
     found = []
