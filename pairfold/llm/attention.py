@@ -53,85 +53,115 @@ class Model:
             "in": draw(d, shape.classes, 0.3).reshape(d, shape.groups, shape.members).transpose(1, 0, 2).copy(), "bi": np.log(by / by.sum(1, keepdims=True)).astype(np.float32),
         })
 
+    def levels(self) -> np.ndarray:
+        """For each group the weights (the last row is of a constant input) before both softmaxes: that over groups, and that over its members."""
+        p, groups = self.p, self.shape.groups
+        top = np.vstack((p["out"], p["b"]))
+        return np.concatenate((np.broadcast_to(top, (groups, *top.shape)), np.concatenate((p["in"], p["bi"][:, None, :]), 1)), 2)
+
     def scorer(self) -> Scorer:
         return Scorer(self)
 
     def gradients(self, x: np.ndarray, y: np.ndarray, use: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
         """Mean log loss over the used positions (``weight``: one for each window), and its gradients.
 
-        As in ``Scorer``, classes and places are multiplied by the weights once each, not once a token.
+        As in ``Scorer``, classes and places are multiplied by the weights once each, not once a token. A constant input 1
+        stands for biases and for the sums of attention weights; so rows are one wider than the model. Where a window begins
+        with what the one before it ends with, what both add to the gradients of these classes is put together first.
         """
         p, d, shape = self.p, self.shape.width, self.shape
         n, t = x.shape
         o = int(use.any(0).argmax())  # nothing is asked before
-        scale, plain = np.float32(d**-0.5), np.eye(d, dtype=np.float32)
-        w_own = np.hstack((p["qkv"][:, :d] * scale, plain))
-        w_seen = np.hstack((p["qkv"][:, d : 2 * d], p["qkv"][:, 2 * d :] @ p["o"]))  # the attention's output weights are folded into the values
+        s, m, scale = t - o, len(p["e"]), np.float32(d**-0.5)
+        wider = lambda w, last=0.0: np.hstack((w, np.full((len(w), 1), last, np.float32)))
+        w_q = p["qkv"][:, :d] * scale
+        w_k, w_v = p["qkv"][:, d : 2 * d], p["qkv"][:, 2 * d :] @ p["o"]  # the attention's output weights are folded into the values
         place = p["pos"][:t]
-        seen, own = (p["e"] @ w_seen).take(x, 0), (p["e"] @ w_own).take(x[:, o:], 0)
-        seen += place @ w_seen
-        own += place[o:] @ w_own
-        q, k, v = own[:, :, :d], seen[:, :, :d], seen[:, :, d:]
-        a = q @ k.transpose(0, 2, 1)
-        np.minimum(a, np.float32(60), out=a)
+        x = x.astype(np.intp)
+        k, v = (p["e"] @ w_k).take(x, 0), wider(p["e"] @ w_v, 1).take(x, 0)
+        k += place @ w_k
+        v += wider(place @ w_v)
+        q, h = (p["e"] @ w_q).take(x[:, o:], 0), wider(p["e"]).take(x[:, o:], 0)
+        q += place[o:] @ w_q
+        h += wider(place[o:])
+        a = k @ q.transpose(0, 2, 1).copy()  # by the place seen, then the place that asks
+        if a.size and a.max() > 60:
+            np.minimum(a, np.float32(60), out=a)
         np.exp(a, out=a)
-        a *= np.tri(t, dtype=np.float32)[o:]
-        a /= a @ np.ones((t, 1), np.float32)
-        c = a @ v
-        used = np.flatnonzero(use[:, o:])
-        every = len(used) == n * (t - o)
-        h, flat = (own[:, :, d:] + c).reshape(-1, d), y[:, o:].ravel()
-        share = np.ones(len(h), np.float32) if weight is None else np.repeat(weight.astype(np.float32), t - o)
-        if not every:
-            h, flat, share = h[used], flat[used], share[used]
-        total = float(share.sum(dtype=np.float64)) or 1.0
-        order = np.argsort(flat // shape.members, kind="stable")  # tokens of a group stand together from here on
-        h, flat, share = h.take(order, 0), flat[order], (share[order] / total).astype(np.float32)
-        f = np.maximum(h @ p["w1"] + p["b1"], 0)
-        out = h + f @ p["w2"]
-        rows, (group, member) = np.arange(len(flat)), np.divmod(flat, shape.members)
-        z, nats = shares(out @ p["out"] + p["b"], rows, group)
-        z *= share[:, None]
-        g = {"out": out.T @ z, "b": z.sum(0), "in": np.zeros_like(p["in"]), "bi": np.zeros_like(p["bi"])}
-        dout = z @ p["out"].T
-        cut = np.searchsorted(group, np.arange(shape.groups + 1))
-        each = [(i, slice(cut[i], cut[i + 1])) for i in range(shape.groups) if cut[i] < cut[i + 1]]
-        z = np.empty((len(flat), shape.members), np.float32)
-        for i, at in each:
-            np.matmul(out[at], p["in"][i], out=z[at])
-        z += p["bi"].take(group, 0)
-        z, more = shares(z, rows, member)
-        loss = -float(((nats + more) * share).sum(dtype=np.float64))
-        z *= share[:, None]
-        for i, at in each:
-            g["in"][i], g["bi"][i] = out[at].T @ z[at], z[at].sum(0)
-            dout[at] += z[at] @ p["in"][i].T
-        df = dout @ p["w2"].T
+        a[:, o:] *= np.tri(s, dtype=np.float32).T.copy()  # what is before is seen by all
+        c = (a.transpose(0, 2, 1) @ v).reshape(-1, d + 1)
+        per = (1 / c[:, d]).repeat(d + 1).reshape(c.shape)  # as wide as what it scales, which takes less time than to scale row by row
+        c *= per
+        h = h.reshape(-1, d + 1)
+        h += c
+        flat, used = y[:, o:].ravel(), np.flatnonzero(use[:, o:])
+        group = flat // shape.members
+        order = used[np.argsort(group[used], kind="stable")]  # tokens of a group stand together from here on
+        h, group, member = h.take(order, 0), group[order], flat[order] % shape.members
+        share = np.ones(len(order), np.float32) if weight is None else weight.astype(np.float32)[order // s]
+        share /= np.float32(float(share.sum(dtype=np.float64)) or 1.0)
+        f = h @ np.vstack((p["w1"], p["b1"]))
+        np.maximum(f, 0, out=f)
+        out = f @ wider(p["w2"])
+        out += h
+        cut, levels = np.searchsorted(group, np.arange(shape.groups + 1)).tolist(), self.levels()
+        z = level_logits(out, cut, levels, shape)
+        at = np.arange(0, z.size, z.shape[1])
+        at = np.concatenate((at + group, at + shape.groups + member))
+        nats = z.reshape(-1).take(at)
+        np.exp(z, out=z)
+        whole = level_sums(z, shape)
+        nats -= np.log(whole.T.ravel())
+        z *= (share[:, None] / whole).ravel().repeat(np.tile((shape.groups, shape.members), len(z)) if shape.groups != shape.members else shape.groups).reshape(z.shape)
+        share = np.concatenate((share, share))
+        z.reshape(-1)[at] -= share
+        up, dout, turned = np.zeros_like(levels), np.zeros((len(order) + 1, d + 1), np.float32), levels.transpose(0, 2, 1).copy()
+        turned[:, :, d] = 0
+        for i, (lo, hi) in enumerate(zip(cut, cut[1:])):
+            if lo < hi:
+                np.matmul(out[lo:hi].T, z[lo:hi], out=up[i])
+                np.matmul(z[lo:hi], turned[i], out=dout[lo:hi])
+        dh = dout[:-1]  # the last row is for what is not asked
+        df = dh @ wider(p["w2"]).T
         df *= f > 0
-        g |= {"w2": f.T @ dout, "w1": h.T @ df, "b1": df.sum(0)}
-        dout += df @ p["w1"].T
-        back = np.zeros((n * (t - o), d), np.float32)
-        back[order if every else used[order]] = dout
-        dc = back.reshape(n, t - o, d)
-        ds = dc @ v.transpose(0, 2, 1)
-        ds -= (dc * c).sum(2, keepdims=True)
+        low, top, deep = h.T @ df, up[:, :, : shape.groups].sum(0), up[:, :, shape.groups :]
+        g = {"out": top[:d], "b": top[d], "in": deep[:, :d], "bi": deep[:, d], "w2": f.T @ dh[:, :d], "w1": low[:d], "b1": low[d]}
+        dh += df @ wider(p["w1"].T)
+        at = np.full(n * s, len(order))
+        at[order] = np.arange(len(order))
+        dh = dout.take(at, 0)
+        per *= dh
+        c *= per
+        per[:, d] = c @ np.full(d + 1, -1, np.float32)
+        back = per.reshape(n, s, d + 1)
+        ds = v @ back.transpose(0, 2, 1).copy()
         ds *= a
-        down, dseen = np.empty((n, t - o, 2 * d), np.float32), np.empty((n, t, 2 * d), np.float32)
-        np.matmul(ds, k, out=down[:, :, :d])
-        down[:, :, d:] = dc
-        np.matmul(ds.transpose(0, 2, 1), q, out=dseen[:, :, :d])
-        np.matmul(a.transpose(0, 2, 1), dc, out=dseen[:, :, d:])
-        e = p["e"].take(x, 0)
-        e += place
-        dkv = e.reshape(-1, d).T @ dseen.reshape(-1, 2 * d)
-        dq = e[:, o:].reshape(-1, d).T @ down[:, :, :d].reshape(-1, d) * scale
+        dkv = np.empty((n, t, 2 * d), np.float32)
+        np.matmul(ds, q, out=dkv[:, :, :d])
+        np.matmul(a, back[:, :, :d], out=dkv[:, :, d:])
+        dq = (ds.transpose(0, 2, 1) @ k).reshape(-1, d)
+        by_place = lambda rows: (np.ones(n, np.float32) @ rows.reshape(n, -1)).reshape(-1, rows.shape[-1])
+        dkv_place, dq_place, dh_place = by_place(dkv), by_place(dq), by_place(dh)[:, :d]
+        goes_on = np.zeros(n, bool)
+        if t == 2 * o:
+            goes_on[1:] = (x[1:, :o] == x[:-1, o:]).all(1)
+            nexts = np.flatnonzero(goes_on)
+            dkv[nexts - 1, o:] += dkv[nexts, :o]
+        each = np.concatenate((x[:, o:].ravel(), x[~goes_on, :o].ravel()))
+        dkv = np.concatenate((dkv[:, o:].reshape(-1, 2 * d), dkv[~goes_on, :o].reshape(-1, 2 * d)))
+        w_kv, e = np.hstack((w_k, w_v)), p["e"].take(each, 0)
+        de = dkv @ w_kv.T
+        de[: n * s] += dq @ w_q.T
+        de[: n * s] += dh[:, :d]
+        dkv = e.T @ dkv + place.T @ dkv_place
+        dq = (e[: n * s].T @ dq + place[o:].T @ dq_place) * scale
         g["qkv"], g["o"] = np.hstack((dq, dkv[:, :d], dkv[:, d:] @ p["o"].T)), p["qkv"][:, 2 * d :].T @ dkv[:, d:]
-        de = (dseen.reshape(-1, 2 * d) @ w_seen.T).reshape(n, t, d)
-        de[:, o:] += (down.reshape(-1, 2 * d) @ w_own.T).reshape(n, t - o, d)
+        at = np.arange(m * d).reshape(m, d).take(each, 0)
+        g["e"] = np.bincount(at.ravel(), de.ravel(), m * d).reshape(m, d).astype(np.float32)
         g["pos"] = np.zeros_like(p["pos"])
-        g["pos"][:t] = de.sum(0)
-        g["e"] = np.stack([np.bincount(x.ravel(), col, len(p["e"])) for col in de.reshape(-1, d).T.astype(np.float64)], 1).astype(np.float32)
-        return loss, g
+        g["pos"][:t] = dkv_place @ w_kv.T
+        g["pos"][o:t] += dh_place + dq_place @ w_q.T
+        return -float((nats * share).sum(dtype=np.float64)), g
 
 
 class Scorer:
@@ -142,70 +172,67 @@ class Scorer:
         d, o = self.shape.width, self.shape.overlap
         q, k, v = (p["qkv"][:, i * d : (i + 1) * d] for i in range(3))
         q, v = q * np.float32(d**-0.5), v @ p["o"]  # the attention's output weights are folded into the values
-        one = np.ones((len(p["e"]), 1), np.float32)
-        # What a position adds up from its class and its place, so that no product is taken of each token.
-        self.own, self.own_pos = np.hstack((p["e"] @ q, p["e"])), np.hstack((p["pos"] @ q, p["pos"]))[o:]
-        self.seen, self.seen_pos = np.hstack((p["e"] @ k, p["e"] @ v, one)), np.hstack((p["pos"] @ k, p["pos"] @ v, np.zeros((len(p["pos"]), 1), np.float32)))
-        self.w1, self.w2 = np.vstack((p["w1"], p["b1"])), p["w2"]  # a bias is the weight of a constant input
-        self.out = np.vstack((p["out"], p["b"]))
-        self.inner = np.concatenate((p["in"], p["bi"][:, None, :]), 1)
+        # What a position adds up from its class and its place, so that no product is taken of each token; a constant input 1
+        # stands for biases and for the sums of attention weights.
+        wider = lambda w, last=0.0: np.hstack((w, np.full((len(w), 1), last, np.float32)))
+        self.q, self.q_pos, self.own, self.own_pos = p["e"] @ q, (p["pos"] @ q)[o:], wider(p["e"]), wider(p["pos"])[o:]
+        self.k, self.k_pos, self.v, self.v_pos = p["e"] @ k, p["pos"] @ k, wider(p["e"] @ v, 1), wider(p["pos"] @ v)
+        self.w1, self.w2 = np.vstack((p["w1"], p["b1"])), wider(p["w2"])
+        self.levels = model.levels()
         self.group, self.member = (x.astype(np.uint8 if max(self.shape.groups, self.shape.members) <= 256 else np.int32) for x in np.divmod(np.arange(self.shape.classes), self.shape.members))
-        self.mask = np.tri(self.shape.window, dtype=np.float32)[o:]
-        longest = lambda x: np.sqrt((x[:, :d] ** 2).sum(1).max())
-        self.mild = (longest(self.own) + longest(self.own_pos)) * (longest(self.seen) + longest(self.seen_pos)) < 80  # no attention weight can overflow
+        self.mask = np.tri(self.shape.window - o, dtype=np.float32).T.copy()
+        longest = lambda x: np.sqrt((x**2).sum(1).max())
+        self.mild = (longest(self.q) + longest(self.q_pos)) * (longest(self.k) + longest(self.k_pos)) < 80  # no attention weight can overflow
 
     def log_probability(self, x: np.ndarray, y: np.ndarray, use: np.ndarray) -> np.ndarray:
         """Natural logarithm of P(y | x so far) at the used ones of the positions after the overlap (indices into these, flattened)."""
-        d, o, (n, t) = self.shape.width, self.shape.overlap, x.shape
-        seen, own = self.seen.take(x, 0), self.own.take(x[:, o:], 0)
-        seen += self.seen_pos
-        own += self.own_pos
-        a = own[:, :, :d] @ seen[:, :, :d].transpose(0, 2, 1)
+        shape = self.shape
+        d, o = shape.width, shape.overlap
+        x = x.astype(np.intp)
+        k, v, q, h = self.k.take(x, 0), self.v.take(x, 0), self.q.take(x[:, o:], 0), self.own.take(x[:, o:], 0)
+        k += self.k_pos
+        v += self.v_pos
+        q += self.q_pos
+        h += self.own_pos
+        a = k @ q.transpose(0, 2, 1).copy()  # by the place seen, then the place that asks
         if not self.mild:
             np.minimum(a, np.float32(60), out=a)
         np.exp(a, out=a)
-        a *= self.mask
-        c = (a @ seen[:, :, d:]).reshape(-1, d + 1)
-        own = own[:, :, d:].reshape(-1, d)
-        if len(use) < len(own):
-            c, own = c.take(use, 0), own.take(use, 0)
-        h = np.ones((len(own), d + 1), np.float32)
-        c /= c[:, d:]
-        np.add(own, c[:, :d], out=h[:, :d])
+        a[:, o:] *= self.mask  # what is before is seen by all
+        c, h = (a.transpose(0, 2, 1) @ v).reshape(-1, d + 1), h.reshape(-1, d + 1)
+        c *= (1 / c[:, d]).repeat(d + 1).reshape(c.shape)
+        h += c
+        group = self.group.take(y)
+        order = np.argsort(group, kind="stable")  # tokens of a group stand together from here on
+        cut = np.concatenate(([0], np.cumsum(np.bincount(group, minlength=shape.groups)))).tolist()
+        h = h.take(use.take(order), 0)
         f = h @ self.w1
         np.maximum(f, 0, out=f)
-        h[:, :d] += f @ self.w2
-        group, member = self.group.take(y), self.member.take(y)
-        out = log_share(h @ self.out, group)
-        order = np.argsort(group, kind="stable")
-        cut = np.concatenate(([0], np.cumsum(np.bincount(group, minlength=self.shape.groups))))
-        h, z = h.take(order, 0), np.empty((len(h), self.shape.members), np.float32)
-        for k in range(self.shape.groups):
-            if cut[k] < cut[k + 1]:
-                np.matmul(h[cut[k] : cut[k + 1]], self.inner[k], out=z[cut[k] : cut[k + 1]])
-        out[order] += log_share(z, member.take(order))
+        h += f @ self.w2
+        z = level_logits(h, cut, self.levels, shape)
+        at = np.arange(0, z.size, z.shape[1])
+        own = z.reshape(-1).take(at + group.take(order)) + z.reshape(-1).take(at + shape.groups + self.member.take(y.take(order)))
+        np.exp(z, out=z)
+        out = np.empty(len(order), np.float32)
+        out[order] = own - np.log(level_sums(z, shape)).sum(1)
         return out
 
 
-def log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log softmax of each row at one place; overwrites ``z``."""
+def level_logits(h: np.ndarray, cut: list[int], levels: np.ndarray, shape: Shape) -> np.ndarray:
+    """What stands before both softmaxes, side by side; ``cut`` is where the rows of each group begin."""
+    z = np.empty((len(h), levels.shape[2]), np.float32)
+    for i, (lo, hi) in enumerate(zip(cut, cut[1:])):
+        if lo < hi:
+            np.matmul(h[lo:hi], levels[i], out=z[lo:hi])
     if z.size and (z.max() > 80 or z.min() < -80):  # an exponential could overflow, or all of a row vanish
-        z -= z.max(1, keepdims=True)
-    own = z.ravel().take(np.arange(len(z)) * z.shape[1] + at)
-    np.exp(z, out=z)
-    return own - np.log(z @ np.ones(z.shape[1], np.float32))
+        for part in (z[:, : shape.groups], z[:, shape.groups :]):
+            part -= part.max(1, keepdims=True)
+    return z
 
 
-def shares(z: np.ndarray, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Softmax of each row, less one at one place, and its logarithm there; overwrites ``z``."""
-    if z.size and (z.max() > 80 or z.min() < -80):  # as in ``log_share``
-        z -= z.max(1, keepdims=True)
-    own = z[rows, at]
-    np.exp(z, out=z)
-    whole = z @ np.ones((z.shape[1], 1), np.float32)
-    z /= whole
-    z[rows, at] -= 1
-    return z, own - np.log(whole[:, 0])
+def level_sums(z: np.ndarray, shape: Shape) -> np.ndarray:
+    """The sums of each row over groups and over members."""
+    return z @ np.repeat(np.eye(2, dtype=np.float32), (shape.groups, shape.members), 0)
 
 
 def windows(count: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
@@ -340,22 +367,30 @@ def befores(flat: np.ndarray, count: np.ndarray, classes: int) -> tuple[np.ndarr
     return one, two
 
 
-def train(model: Model, x: np.ndarray, y: np.ndarray, use: np.ndarray, rate: float, batch: int = 32, rounds: int = 1, seed: int = 1, weight: np.ndarray | None = None) -> float:
-    """Adam over the given windows (``weight``: one for each); returns the last mean loss."""
+def train(model: Model, x: np.ndarray, y: np.ndarray, use: np.ndarray, rate: float, batch: int = 32, rounds: int = 1, seed: int = 1, weight: np.ndarray | None = None, run: int = 1) -> float:
+    """Adam over the given windows (``weight``: one for each), dealt to batches in runs of ``run``; returns the last mean loss."""
     rng = np.random.default_rng(seed)
-    m = {k: np.zeros_like(v) for k, v in model.p.items()}
-    v = {k: np.zeros_like(w) for k, w in model.p.items()}
+    keys, ends = [*model.p], np.cumsum([v.size for v in model.p.values()])
+    flat = np.concatenate([v.ravel() for v in model.p.values()])  # all parameters are moved at once
+    model.p.update((k, v.reshape(model.p[k].shape)) for k, v in zip(keys, np.split(flat, ends[:-1])))
+    m, v, g, move = (np.zeros_like(flat) for _ in range(4))
     step, total, loss = 0, max(1, rounds * -(-len(x) // batch)), 0.0
     for _ in range(rounds):
-        order = rng.permutation(len(x))
+        order = (rng.permutation(-(-len(x) // run))[:, None] * run + np.arange(run)).ravel()
+        order = order[order < len(x)]
         for lo in range(0, len(x), batch):
             s = order[lo : lo + batch]
             one, grads = model.gradients(x[s], y[s], use[s], None if weight is None else weight[s])
             loss = 0.95 * loss + 0.05 * one if step else one
             step += 1
             lr = rate * (1 - 0.9 * step / total)
-            for k, g in grads.items():
-                m[k] += 0.1 * (g - m[k])
-                v[k] += 0.01 * (g * g - v[k])
-                model.p[k] -= ((lr / (1 - 0.9**step)) * m[k] / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            np.concatenate([grads[k].ravel() for k in keys], out=g)
+            m += np.float32(0.1) * (g - m)
+            g *= g
+            v += np.float32(0.01) * (g - v)
+            np.sqrt(v / np.float32(1 - 0.99**step), out=move)
+            move += np.float32(1e-8)
+            np.divide(m, move, out=move)
+            move *= np.float32(lr / (1 - 0.9**step))
+            flat -= move
     return loss

@@ -318,7 +318,7 @@ def _train_everywhere(known: DataFrame, start: attention.Model, contexts: attent
             laid, lens, n = np.frombuffer(b"".join(held), kind), np.array([len(x) for x in held]) // kind.itemsize, np.array(times)
             np.add.at(cells, contexts.cells(laid, lens, lead), np.repeat(n, lens - lead))
             x, y, use, own = attention.segment_windows(laid, lens, shape)
-            attention.train(model, x, y, use, 0.008, batch=256, weight=n[own])
+            attention.train(model, x, y, use, 0.008, batch=256, weight=n[own], run=4)
             weight = int((n * (lens - lead)).sum())
             sums[:] += np.concatenate([model.p[k].ravel() for k in keys]).astype(np.float64) * weight
             return weight

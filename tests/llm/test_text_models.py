@@ -177,6 +177,24 @@ def test_segments_have_the_windows_of_whole_texts_and_weights_are_copies():
     assert loss == pytest.approx(same, rel=1e-5) and all(g[k] == pytest.approx(want[k], abs=1e-5) for k in want)
 
 
+def test_windows_that_follow_each_other_are_trained_on_together_and_once():
+    shape, rng = attention.Shape(4, 4, 8, 12, 8, 4), np.random.default_rng(6)
+    cls, count = rng.integers(0, 16, 300), np.array([90, 3, 207])
+    x, y, use, _ = attention.cut_windows(cls, count, shape)
+    model, weight = attention.Model.fresh(shape, rng.random(16) + 0.1), rng.integers(1, 4, len(x))
+    each = [model.gradients(x[i : i + 1], y[i : i + 1], use[i : i + 1], weight[i : i + 1]) for i in range(len(x))]
+    share = weight * use.sum(1) / (weight * use.sum(1)).sum()
+    for order in (np.arange(len(x)), rng.permutation(len(x))):  # in runs, and apart
+        loss, g = model.gradients(x[order], y[order], use[order], weight[order])
+        assert loss == pytest.approx(sum(w * one for w, (one, _) in zip(share, each)), rel=1e-5)
+        assert all(g[k] == pytest.approx(sum(w * one[k] for w, (_, one) in zip(share, each)), abs=1e-5) for k in g)
+    met, take = [], model.gradients
+    model.gradients = lambda x, y, use, weight: (met.append(weight.tolist()), take(x, y, use, weight))[1]
+    attention.train(model, x, y, use, 0.01, batch=8, weight=np.arange(len(x)), run=4)
+    flat = sum(met, [])
+    assert sorted(flat) == list(range(len(x))) and sum(b == a + 1 for a, b in zip(flat, flat[1:])) >= len(x) // 4 * 3 and flat != sorted(flat)
+
+
 def test_scores_do_not_depend_on_the_partitions(spark, folder):
     rows = spark.read.parquet(f"{folder}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
     found = []
